@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, sharding, url_cascade
+from . import mixing, parity_join, sharding, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,11 +29,16 @@ def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source"), SHARDS)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_url_filter": op3_url_filter,
         "op5_shard_documents": op5_shard_documents,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
     }
 
 
@@ -81,5 +86,20 @@ from h left join m using (page_id) left join b using (page_id)
 """
 
 
+OP9_SQL = r"""
+with recursive w as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as ws from documents),
+l as (
+  select doc_id, case when len(ws) >= 4 then list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as sh from w),
+n as (select doc_id, len(sh)::bigint as n_shingles from l),
+s as (select doc_id, unnest(sh) as sh from l),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as both_have from s x join s y using (sh) where x.doc_id <> y.doc_id group by all),
+e as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * both_have >= 85 * (x.n_shingles + y.n_shingles - both_have)),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select n.doc_id, n.n_shingles, least(n.doc_id, min(r.b)) as component_id from n left join r on r.a = n.doc_id group by n.doc_id, n.n_shingles
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op9_ngram_jaccard": OP9_SQL}
