@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, parity_join, sharding, url_cascade
+from . import cap_filters, mixing, parity_join, sharding, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source"), SHARDS)
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Query]:
         "op1_mix_sources": op1_mix_sources,
         "op3_url_filter": op3_url_filter,
         "op5_shard_documents": op5_shard_documents,
+        "op7_near_vectors": op7_near_vectors,
         "op9_ngram_jaccard": op9_ngram_jaccard,
     }
 
@@ -101,5 +106,22 @@ select n.doc_id, n.n_shingles, least(n.doc_id, min(r.b)) as component_id from n
 """
 
 
+OP7_SQL = r"""
+with recursive v as (
+  select vec_id, label, embedding::double[] as x from embeddings),
+u as (
+  select *, label is not null and x is not null and len(x) > 0 and list_aggregate(list_transform(x, lambda c: case when c is null or not isfinite(c) then 1 else 0 end), 'sum') = 0
+    and list_aggregate(list_transform(x, lambda c: abs(coalesce(c, 0))), 'max') > 0 as able from v),
+e as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id
+  where a.able and b.able and len(a.x) = len(b.x) and list_cosine_similarity(a.x, b.x) >= 0.93),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+n as (select a, count(*) as n_links from e group by a),
+c as (select a, min(b) as low from r group by a)
+select v.vec_id, coalesce(n_links, 0)::bigint as n_links, least(v.vec_id, coalesce(low, v.vec_id)) as component_id, v.vec_id = least(v.vec_id, coalesce(low, v.vec_id)) as kept
+from v left join n on n.a = v.vec_id left join c on c.a = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op9_ngram_jaccard": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_near_vectors": OP7_SQL, "op9_ngram_jaccard": OP9_SQL}
