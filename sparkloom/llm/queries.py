@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cap_filters, mixing, parity_join, sharding, url_cascade
+from . import cap_filters, mixing, parity_join, sharding, suffix_dedup, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), length=100)
+
+
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source"), SHARDS)
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_url_filter": op3_url_filter,
+        "op4_repeated_bytes": op4_repeated_bytes,
         "op5_shard_documents": op5_shard_documents,
         "op7_near_vectors": op7_near_vectors,
         "op9_ngram_jaccard": op9_ngram_jaccard,
