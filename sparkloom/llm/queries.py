@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cap_filters, mixing, parity_join, sharding, suffix_dedup, url_cascade
+from . import cap_filters, kneser_ney, mixing, parity_join, sharding, suffix_dedup, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,11 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = kneser_ney.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", "keep")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -49,6 +54,7 @@ def queries() -> dict[str, Query]:
         "op5_shard_documents": op5_shard_documents,
         "op7_near_vectors": op7_near_vectors,
         "op9_ngram_jaccard": op9_ngram_jaccard,
+        "op10_quality_perplexity": op10_quality_perplexity,
     }
 
 
