@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cap_filters, kneser_ney, mixing, parity_join, sharding, suffix_dedup, url_cascade
+from . import cap_filters, decontaminate, kneser_ney, mixing, parity_join, sharding, suffix_dedup, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op4_repeated_bytes": op4_repeated_bytes,
         "op5_shard_documents": op5_shard_documents,
         "op7_near_vectors": op7_near_vectors,
+        "op8_benchmark_leaks": op8_benchmark_leaks,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_perplexity": op10_quality_perplexity,
     }
