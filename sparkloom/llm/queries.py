@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cap_filters, decontaminate, kneser_ney, mixing, parity_join, sharding, suffix_dedup, url_cascade
+from . import cap_filters, decontaminate, html_text, kneser_ney, mixing, parity_join, sharding, suffix_dedup, toxicity, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -33,6 +37,10 @@ def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source"), SHARDS)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -53,9 +61,11 @@ def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_toxicity_chain": op2_toxicity_chain,
         "op3_url_filter": op3_url_filter,
         "op4_repeated_bytes": op4_repeated_bytes,
         "op5_shard_documents": op5_shard_documents,
+        "op6_html_text": op6_html_text,
         "op7_near_vectors": op7_near_vectors,
         "op8_benchmark_leaks": op8_benchmark_leaks,
         "op9_ngram_jaccard": op9_ngram_jaccard,
