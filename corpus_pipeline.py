@@ -1,12 +1,73 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: quality, near duplicates, benchmark leaks, mixture, shards.
+
+Each stage takes the whole table that the one before has kept, written as
+Parquet and read again. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import decontaminate, kneser_ney, mixing, parity_join, sharding
+from sparkloom.llm.common import settle, shared_folder
+from sparkloom.llm.queries import SHARDS
+from sparkloom.session import table
 
-STAGES = []
+#: SQL can't express the stages: the first is a trained model. tests/llm holds them against plain versions.
 ORACLE_SQL = None
 
 
+def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in like.columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier (10) rejects go."""
+    mark = F.xxhash64("doc_id", "text", "lang")
+    judged = kneser_ney.judge_quality(docs, table(spark, sf_dir, "labels"), mark=mark)
+    rejected = judged.where("not keep").select(F.col("mark").alias("_mark")).distinct()
+    return _columns(docs.withColumn("_mark", mark).join(rejected, "_mark", "left_anti"), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (9) stays: five words, similarity 0.8; the one with the smallest id."""
+    groups = settle(parity_join.jaccard_components(docs, k=5, percent=80), "groups")
+    # of rows that share the id and the set, one stays; documents without words link with nothing
+    gone = groups.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    twice = groups.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    single = kept.join(twice, "doc_id", "left_anti")
+    repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _columns(single, docs).union(_columns(repeated, docs))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark (8) go."""
+    leaks = settle(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")), "leaks").select("doc_id").distinct()
+    return _columns(docs.join(leaks, "doc_id", "left_anti"), docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture of sources (1) takes it."""
+    return mixing.take_copies(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row with its slot and shard (5)."""
+    return sharding.place(docs, SHARDS)
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminated), ("mixing sources", mixture), ("sharding", shards)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{shared_folder(spark)}/stage-{k}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
