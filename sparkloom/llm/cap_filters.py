@@ -10,7 +10,6 @@ are compared exactly.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,6 @@ PARTS = 2
 FEWEST = 12
 
 
-@lru_cache(maxsize=4)
 def product_code(dim: int, words: int, seed: int = 11) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Rotation, the coordinates of each part, and each part's ``words`` directions of length 1 / sqrt(parts)."""
     rng = np.random.default_rng([seed, dim])

@@ -31,8 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later plans start from files that outlive executors."""
+def settle(df: DataFrame, name: str = "t", tasks: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: later plans start from files that outlive executors.
+
+    ``tasks``: at most so many tasks make its last step, for tables known to be small.
+    """
+    if tasks:
+        df = df.coalesce(tasks)
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -54,18 +59,18 @@ def components(edges: DataFrame, vertex: str = "bigint") -> DataFrame:
     )
     before = None
     while True:
+        seen = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        state = (seen["n"], seen["h"])
+        if state == before or not seen["n"]:
+            break
+        before = state
+        tasks = -(-seen["n"] // 100_000)  # few links need few tasks a round
         both = cur.select("u", "v").union(cur.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = settle(large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "links", tasks)
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(small_low.select("u", F.col("m").alias("v"))).distinct()
-        cur = settle(small, "links")
-        seen = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        state = (seen["n"], seen["h"])
-        if state == before:
-            break
-        before = state
+        cur = settle(small.union(small_low.select("u", F.col("m").alias("v"))).distinct(), "links", tasks)
     roots = cur.select(F.col("v").alias("id")).distinct()
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component"))).select(F.col("id").cast(vertex), F.col("component").cast(vertex))

@@ -12,8 +12,6 @@ are verified on their whole shingle sets.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,13 +22,10 @@ from .shingles import mix, set_hash, shingle_sets, slices
 
 ship(__name__)
 
-#: Groups of one sketch word with up to so many members test all pairs of different components; larger ones a star a round.
-PAIRED = 24
-#: Rounds of stars before the large groups, too, test what is left.
-STARS = 6
+#: Members of a group that one task compares at a time; larger groups are dealt out in pairs of chunks.
+CHUNK = 1024
 
 
-@lru_cache(maxsize=8)
 def size_bands(percent: int, upto: int) -> tuple[list[int], list[int], list[int]]:
     """First size, most differing shingles d and sketch words B of each band.
 
@@ -133,13 +128,97 @@ def _keys(k: int, percent: int):
     return run
 
 
-def _sets(column: pa.Array, k: int) -> tuple[list[np.ndarray], list[int]]:
-    sets, nodes = [], []
+def bit_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of a set in 4 to 8 bits a shingle, a power of two in all: half a sketch XORed on the other is the next smaller one."""
+    size = 1 << max(6, (4 * len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
+def most_apart(n_a, n_b, percent: int):
+    """Symmetric difference of two similar sets of these sizes at most."""
+    return (100 - percent) * (n_a + n_b) // (100 + percent)
+
+
+def _sketches(k: int):
+    def run(batches):
+        for batch in batches:
+            want = batch.column("node").to_pylist()
+            for at, offsets, data in slices(batch.column("text")):
+                tokens, bounds = shingle_sets(offsets, data, k)
+                node = set_hash(tokens, bounds).tolist()
+                keep = [r for r in range(len(node)) if node[r] == want[at + r]]
+                own = [bit_sketch(tokens[bounds[r] : bounds[r + 1]]).tobytes() for r in keep]
+                yield pa.RecordBatch.from_arrays([pa.array([node[r] for r in keep], pa.int64()), pa.array([int(bounds[r + 1] - bounds[r]) for r in keep], pa.int64()), pa.array(own, pa.binary()), batch.column("text").take(pa.array([at + r for r in keep], pa.int64()))], names=["node", "n", "sketch", "text"])
+
+    return run
+
+
+def _near_pairs(percent: int):
+    """Pairs whose sketches do not rule them out."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb, sa, sb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "sa", "sb"))
+            keep = []
+            for r in range(len(a)):
+                x, y = np.frombuffer(sa[r], np.uint64), np.frombuffer(sb[r], np.uint64)
+                words = min(len(x), len(y))
+                if np.bitwise_count(fold(x, words) ^ fold(y, words)).sum() <= most_apart(na[r], nb[r], percent):
+                    keep.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([a[r] for r in keep], pa.int64()), pa.array([b[r] for r in keep], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _open_groups(percent: int):
+    """Pairs of members in different components that sketches do not rule out; rows come sorted by group and chunks."""
+
+    def flush(run: list) -> pa.RecordBatch:
+        out_a, out_b = [], []
+        if len(run) > 1:
+            node, comp, size, chunk = (np.array([x[c] for x in run], np.int64) for c in ("node", "c", "n", "chunk"))
+            raw = [np.frombuffer(x["sketch"], np.uint64) for x in run]
+            words = min(map(len, raw))
+            bits = np.stack([fold(x, words) for x in raw])
+            across = chunk.min() != chunk.max()
+            for r in range(len(run) - 1):
+                other = np.arange(r + 1, len(run))
+                other = other[(comp[other] != comp[r]) & ((chunk[other] != chunk[r]) | (not across))]
+                if len(other):
+                    apart = np.bitwise_count(bits[other] ^ bits[r]).sum(1)
+                    other = other[apart <= most_apart(size[other], size[r], percent)]
+                    out_a += np.minimum(node[other], node[r]).tolist()
+                    out_b += np.maximum(node[other], node[r]).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    def work(batches):
+        run: list = []
+        now = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                group = (row["key"], row["c0"], row["c1"])
+                if group != now:
+                    yield flush(run)
+                    run, now = [], group
+                run.append(row)
+        yield flush(run)
+
+    return work
+
+
+def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    sets = []
     for _, offsets, data in slices(column):
         tokens, bounds = shingle_sets(offsets, data, k)
         sets += [tokens[bounds[r] : bounds[r + 1]] for r in range(len(bounds) - 1)]
-        nodes += set_hash(tokens, bounds).tolist()
-    return sets, nodes
+    return sets
 
 
 def _verify(k: int, percent: int):
@@ -148,12 +227,10 @@ def _verify(k: int, percent: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                own_a, node_a = _sets(part.column(2), k)
-                own_b, node_b = _sets(part.column(3), k)
                 ok = []
-                for r, (x, y) in enumerate(zip(own_a, own_b, strict=True)):
+                for x, y in zip(_sets(part.column(2), k), _sets(part.column(3), k), strict=True):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(node_a[r] == a[r] and node_b[r] == b[r] and 100 * shared >= percent * (len(x) + len(y) - shared))
+                    ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     return run
@@ -163,11 +240,13 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     """``(doc_id, n_shingles, component_id)`` for each row: the smallest id reachable by links of Jaccard similarity ``percent`` or more.
 
     Links need not all be listed for that: within the group of one sketch
-    word, each member is verified against the group's first; then, while a
-    group has members in different components, pairs of such members that
-    were not verified yet are. At the end every pair that shares a sketch word
-    is verified or connected, so the components are exact. Equal sets are one
-    node throughout, however many rows have them.
+    word, each member meets the group's first; then, in groups whose members
+    are in different components, all such members meet. Pairs that meet are
+    first held against each other by bit sketches, whose Hamming distance is no
+    more than the symmetric difference. Of what is left, pairs of different
+    components are verified on their texts until none is left. So the
+    components are exact. Equal sets are one node throughout, however many
+    rows have them.
 
     Null or empty texts, or texts of white space, have no shingles and link
     with nothing. Repeated rows are in one component. A null id stays null and
@@ -183,33 +262,52 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, key: str
 
     reps = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
+    wanted = groups.select("node").distinct().join(reps, "node")
+    texts = plain.join(wanted, "doc_id").select("node", "text").mapInArrow(_sketches(k), "node long, n long, sketch binary, text string")
+    # an id on several rows can bring a text of this node's more than once
+    texts = settle(texts.dropDuplicates(["node"]), "texts")
+    sketches = texts.select("node", "n", "sketch")
+
+    met = groups.where("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
+    left = met.join(sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    both = left.join(sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    near = settle(both.mapInArrow(_near_pairs(percent), "a long, b long"), "near")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = settle(plain.join(wanted.join(reps, "node"), "doc_id").select("node", "text"), "texts")
         left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        found = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long, ok boolean")
-        return settle(found.groupBy("a", "b").agg(F.max("ok").alias("ok")), "verified")
-
-    tested = verified(settle(groups.where("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct(), "pairs"))
-    stars = 0
-    while True:
-        comp = settle(components(tested.where("ok").select("a", "b")), "components")
-        mine = groups.select("key", "node").join(comp, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        split = mine.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1")
-        open_ = settle(mine.join(split.select("key", "m"), "key"), "open")
-        few = open_ if stars >= STARS else open_.where(F.col("m") <= PAIRED)
-        pairs = few.alias("x").join(few.select("key", "node", "c").alias("y"), F.expr("x.key = y.key and x.node < y.node and x.c <> y.c")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        many = open_.where(F.col("m") > PAIRED)
-        hub = many.groupBy("key").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(stars))).alias("h"))
-        spokes = many.join(hub, "key").where("node <> h.node and c <> h.c").select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
-        fresh = settle(pairs.union(spokes).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        stars += 1
-        if fresh.isEmpty():
-            if stars > STARS or many.isEmpty():
-                break
-            continue
-        tested = settle(tested.union(verified(fresh)), "verified")
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long, ok boolean")
+
+    def labelled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        a, b = (comp.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+
+    def connected(near: DataFrame, tested: DataFrame | None, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Components once no pair of ``near`` is open; a few pairs of each component a round, most are settled by then."""
+        few = 1
+        while True:
+            fresh = near if tested is None else near.join(tested, ["a", "b"], "left_anti")
+            crossing = fresh.withColumns({"ca": F.col("a"), "cb": F.col("b")}) if comp is None else labelled(fresh, comp)
+            line = Window.partitionBy(F.greatest("ca", "cb")).orderBy(F.least("ca", "cb"), "a", "b")
+            pick = settle(crossing.withColumn("r", F.row_number().over(line)).where(F.col("r") <= few).select("a", "b"), "pick")
+            if comp is not None and pick.isEmpty():
+                return comp, tested
+            found = verified(pick)
+            tested = settle(found if tested is None else tested.union(found), "tested")
+            comp = settle(components(tested.where("ok").select("a", "b")), "components")
+            few *= 4
+
+    comp, tested = connected(near, None, None)
+    mine = groups.select("key", "node").join(comp, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    split = mine.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low <> high")
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    dealt = mine.join(split.select("key", "m"), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+    # with n chunks, a member meets its own and each other one
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("c0", F.least("chunk", "other")).withColumn("c1", F.greatest("chunk", "other"))
+    run = ["key", "c0", "c1"]
+    rows = dealt.join(sketches, "node").select(*run, "chunk", "node", "c", "n", "sketch").repartition(*run).sortWithinPartitions(*run)
+    rest = settle(rows.mapInArrow(_open_groups(percent), "a long, b long").distinct(), "near")
+    comp, _ = connected(rest, tested, comp)
 
     named = nodes.groupBy("node").agg(F.min("doc_id").alias("rep")).join(comp, F.col("node") == F.col("id"), "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
