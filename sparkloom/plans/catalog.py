@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from . import retrieval  # noqa: F401
+from . import retrieval, star  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
