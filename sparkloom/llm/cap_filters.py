@@ -38,7 +38,7 @@ def product_code(dim: int, words: int, seed: int = 11) -> tuple[np.ndarray, list
 
 
 def list_decode(units: np.ndarray, words: int, threshold: float) -> list[np.ndarray]:
-    """For each unit vector the sorted numbers of all filters whose direction it exceeds by ``threshold``."""
+    """For each unit vector the sorted numbers of all filters whose direction it exceeds by ``threshold``, in units of 1 / sqrt(dimension)."""
     turn, cuts, codes = product_code(units.shape[1], words)
     turned = units @ turn
     scores = [turned[:, cut] @ code.T for cut, code in zip(cuts, codes, strict=True)]
@@ -46,7 +46,7 @@ def list_decode(units: np.ndarray, words: int, threshold: float) -> list[np.ndar
     most = min(FEWEST, left.shape[1], right.shape[1])
     best_left, best_right = -np.partition(-left, most - 1, axis=1)[:, :most], -np.partition(-right, most - 1, axis=1)[:, :most]
     sums = (best_left[:, :, None] + best_right[:, None, :]).reshape(len(units), -1)
-    bar = np.minimum(threshold, -np.partition(-sums, most - 1, axis=1)[:, most - 1] - 1e-12)
+    bar = np.minimum(threshold / np.sqrt(units.shape[1]), -np.partition(-sums, most - 1, axis=1)[:, most - 1] - 1e-12)
     top_left, top_right = left.max(1), right.max(1)
     out = []
     for r in range(len(units)):
@@ -146,7 +146,7 @@ def _buckets(least: float):
     return work
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, words: int = 256, threshold: float = 0.42, chunk: int = 512, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, words: int = 256, threshold: float = 3.36, chunk: int = 512, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors``.
 
     Vectors are compared if their labels are equal and not null, and their
