@@ -111,9 +111,9 @@ class Index:
                     yield self.ids[i], score, overlap(question, words), overlap(answer, words)
 
 
-def _query(shared, share: float, chunk: int = 1 << 21):
+def _query(index: Index, share: float, chunk: int = 1 << 21):
+    # the index goes with the function, by value; Spark broadcasts functions that are large
     def run(batches):
-        index: Index = shared.value
         get, stride = index.terms.get, index.stride
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -170,7 +170,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, share: flo
     without words match nothing. A row stands for a document and item once;
     repeated rows each give theirs. An empty benchmark or corpus gives no rows.
     """
-    spark = docs.sparkSession
     tests = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = int(chars // index_chars) + 1
@@ -181,7 +180,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, share: flo
         usable = [(r["item_id"], r["text"]) for r in rows if _WORDS.search(r["text"])]
         if not usable:
             continue
-        found = plain.mapInArrow(_query(spark.sparkContext.broadcast(Index(usable, least)), share), "doc_id long, item_id long, score double, overlap double")
+        found = plain.mapInArrow(_query(Index(usable, least), share), "doc_id long, item_id long, score double, overlap double")
         out = found if out is None else out.union(found)
     if out is None:
         return plain.where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0.0).alias("overlap"))
