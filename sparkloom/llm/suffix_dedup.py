@@ -4,7 +4,7 @@ What is asked is where two suffixes of the corpus agree for ``length`` bytes
 or more. A difference cover D modulo v has, for any two positions, a shift
 below v that brings both onto covered positions. So suffixes that agree for
 ``length`` bytes have covered suffixes, at the same shift below v, that agree
-for ``length - v + 1`` bytes. Those cover samples (one byte in seven) are
+for ``length - v + 1`` bytes. Those cover samples (one byte in five) are
 ranked first; a suffix can only tie for long if one of the v positions from it
 on holds a sample whose rank another sample shares. All others are settled by
 that alone. The rest are sorted to their first ``length`` bytes one bucket at a
@@ -18,6 +18,7 @@ holds earlier text and no position need travel.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
 
@@ -31,8 +32,8 @@ from .common import settle, ship
 
 ship(__name__)
 
-#: A perfect difference set modulo 57: each residue but 0 is one difference of its entries. Fixed values.
-COVER, PERIOD = (0, 1, 3, 13, 32, 36, 43, 52), 57
+#: A perfect difference set modulo 31: each residue but 0 is one difference of its entries. Fixed values.
+COVER, PERIOD = (0, 1, 3, 8, 12, 18), 31
 #: Bytes of text in a block, and keys in a bucket, about.
 BLOCK, BUCKET = 1 << 22, 1 << 22
 
@@ -75,7 +76,7 @@ def unpack(blob: bytes) -> np.ndarray:
 
 def _blocks(batches):
     """Rows in doc_id order to blocks; a note ahead of a document says that it is a copy of an earlier one."""
-    codec = pa.Codec("zstd")
+    codec = pa.Codec("zstd", compression_level=7)
     part = TaskContext.get().partitionId()
     ids, texts, size, count = [], [], 0, 0
     noted: tuple = (None, set())
@@ -277,6 +278,7 @@ def _cut(length: int, bits: int, most: int, suffix_bits: int):
 
 def _free_shuffles(df: DataFrame) -> None:
     """Shuffle files of finished steps go when the driver's JVM collects its garbage; here disk counts."""
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
