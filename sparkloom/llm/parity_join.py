@@ -177,8 +177,11 @@ def _near_pairs(percent: int):
     return run
 
 
-def _open_groups(percent: int):
-    """Pairs of members in different components that sketches do not rule out; rows come sorted by group and chunks."""
+def _open_groups(percent: int, spanning: bool):
+    """Pairs of members in different components that sketches do not rule out; rows come sorted by group and chunks.
+
+    ``spanning``: only pairs that would join components that the group's pairs so far have not.
+    """
 
     def flush(run: list) -> pa.RecordBatch:
         out_a, out_b = [], []
@@ -191,11 +194,15 @@ def _open_groups(percent: int):
             for r in range(len(run) - 1):
                 other = np.arange(r + 1, len(run))
                 other = other[(comp[other] != comp[r]) & ((chunk[other] != chunk[r]) | (not across))]
-                if len(other):
-                    apart = np.bitwise_count(bits[other] ^ bits[r]).sum(1)
-                    other = other[apart <= most_apart(size[other], size[r], percent)]
-                    out_a += np.minimum(node[other], node[r]).tolist()
-                    out_b += np.maximum(node[other], node[r]).tolist()
+                if not len(other):
+                    continue
+                apart = np.bitwise_count(bits[other] ^ bits[r]).sum(1)
+                other = other[apart <= most_apart(size[other], size[r], percent)]
+                if spanning and len(other):
+                    other = other[np.unique(comp[other], return_index=True)[1]]
+                    comp[np.isin(comp, comp[other])] = comp[r]
+                out_a += np.minimum(node[other], node[r]).tolist()
+                out_b += np.maximum(node[other], node[r]).tolist()
         return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     def work(batches):
@@ -241,7 +248,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, key: str
 
     Links need not all be listed for that: within the group of one sketch
     word, each member meets the group's first; then, in groups whose members
-    are in different components, all such members meet. Pairs that meet are
+    are in different components, such members meet. Pairs that meet are
     first held against each other by bit sketches, whose Hamming distance is no
     more than the symmetric difference. Of what is left, pairs of different
     components are verified on their texts until none is left. So the
@@ -298,16 +305,20 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, key: str
             few *= 4
 
     comp, tested = connected(near, None, None)
-    mine = groups.select("key", "node").join(comp, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    split = mine.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low <> high")
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    dealt = mine.join(split.select("key", "m"), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
-    # with n chunks, a member meets its own and each other one
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("c0", F.least("chunk", "other")).withColumn("c1", F.greatest("chunk", "other"))
-    run = ["key", "c0", "c1"]
-    rows = dealt.join(sketches, "node").select(*run, "chunk", "node", "c", "n", "sketch").repartition(*run).sortWithinPartitions(*run)
-    rest = settle(rows.mapInArrow(_open_groups(percent), "a long, b long").distinct(), "near")
-    comp, _ = connected(rest, tested, comp)
+    for spanning in (True, False):
+        mine = groups.select("key", "node").join(comp, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        split = mine.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low <> high")
+        chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+        dealt = mine.join(split.select("key", "m"), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+        # with n chunks, a member meets its own and each other one
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("c0", F.least("chunk", "other")).withColumn("c1", F.greatest("chunk", "other"))
+        run = ["key", "c0", "c1"]
+        rows = dealt.join(sketches, "node").select(*run, "chunk", "node", "c", "n", "sketch").repartition(*run).sortWithinPartitions(*run)
+        emitted = settle(rows.mapInArrow(_open_groups(percent, spanning), "a long, b long").distinct(), "near")
+        comp, tested = connected(emitted, tested, comp)
+        # a pair that joined components in its group by sketches alone stood for others there: if its texts differ, all of them meet
+        if emitted.join(tested.where("not ok"), ["a", "b"], "left_semi").isEmpty():
+            break
 
     named = nodes.groupBy("node").agg(F.min("doc_id").alias("rep")).join(comp, F.col("node") == F.col("id"), "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
