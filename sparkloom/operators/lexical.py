@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import math
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 
+#: Entries of the (term, query) matrix that a task holds at most; a larger query set is joined instead.
+MATRIX = 1 << 24
 #: Decimals that scores are rounded to before ranking: sums differ in the last bits by order.
 DIGITS = 6
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, term, tf, dl)``: one row for each distinct term of a document."""
     tokens = docs.select(F.col(key).alias("id"), tokenize(F.col(text)).alias("tokens"))
@@ -47,6 +59,73 @@ def bm25(posts: DataFrame, queries: DataFrame, sizes: DataFrame, k1: float = 1.5
     return hits.groupBy("qid", "id", *by).agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
 
 
+def _encode(terms: list[str]):
+    """Arrow function: a document's length, and its terms that queries have, as numbers with their counts."""
+
+    def run(batches):
+        vocabulary = pa.array(terms, pa.string())
+        for batch in batches:
+            lists = batch.column("tokens")
+            size = np.diff(np.asarray(lists.offsets))
+            term = np.asarray(pc.index_in(lists.flatten(), value_set=vocabulary).fill_null(-1)).astype(np.int64)
+            cell, tf = np.unique((np.repeat(np.arange(len(size)), size) * len(terms) + term)[term >= 0], return_counts=True)
+            bounds = pa.array(np.searchsorted(cell, np.arange(len(size) + 1) * len(terms)), pa.int32())
+            own, counts = (pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (cell % len(terms), tf))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), own, counts], names=["id", "dl", "terms", "tfs"])
+
+    return run
+
+
+def _score_blocks(weights: np.ndarray, qids: np.ndarray, avg_dl: float, k: int, k1: float, b: float, rows: int = 256):
+    """Arrow function: each block of documents against all queries, the block's best ``k`` of each query."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                dl = np.asarray(part.column("dl"))
+                lists = part.column("terms")
+                doc = np.repeat(np.arange(len(dl)), np.diff(np.asarray(lists.offsets)))
+                tf = np.zeros((len(dl), len(weights)))
+                tf[doc, np.asarray(lists.flatten())] = np.asarray(part.column("tfs").flatten())
+                scores = np.round((tf / (tf + (k1 * (1 - b + b * dl / avg_dl))[:, None])) @ weights, DIGITS)
+                floor = np.sort(scores, axis=0)[max(0, len(dl) - k)]
+                d, q = np.nonzero((scores >= floor) & (scores > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(qids[q]), part.column("id").take(pa.array(d)), pa.array(scores[d, q])], names=["qid", "id", "score"])
+
+    return run
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(qid, id, score, rank)``: the first ``k`` for each query of a stated set, in one scan of the documents and one of their terms.
+
+    Documents are scored in blocks against a matrix of query weights, and each
+    block keeps its best ``k``, so what is shuffled is k rows a query and block
+    whatever the lengths of postings. ``MATRIX`` bounds the matrix; query sets
+    beyond it go through the postings join.
+    """
+    asks = queries.persist()
+    size = asks.agg(F.count_distinct("term").alias("v"), F.count_distinct("qid").alias("q")).first()
+    tokens = docs.select(F.col(key).cast("long").alias("id"), tokenize(F.col(text)).alias("tokens"))
+    if not size["v"] or size["v"] * size["q"] > MATRIX:
+        sizes = tokens.select("id", F.size("tokens").alias("dl"))
+        return top_k(bm25(postings(docs, key, text), asks, sizes, k1, b), k)
+    rows = asks.orderBy("qid", "term").collect()
+    terms, qids = sorted({r["term"] for r in rows}), np.array(sorted({r["qid"] for r in rows}))
+    at = {t: n for n, t in enumerate(terms)}
+    # the tokeniser runs once: what later steps need of a document is a short list of numbers
+    coded = tokens.mapInArrow(_encode(terms), "id long, dl long, terms array<int>, tfs array<int>").persist()
+    whole = coded.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")).first()
+    seen = coded.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n, df = whole["n"], {terms[r["term"]]: r["df"] for r in seen.collect()}
+    weights = np.zeros((len(terms), len(qids)))
+    for r in rows:
+        m = df.get(r["term"], 0)
+        weights[at[r["term"]], np.searchsorted(qids, r["qid"])] = r["qtf"] * math.log(1 + (n - m + 0.5) / (m + 0.5)) * (k1 + 1)
+    scored = coded.mapInArrow(_score_blocks(weights, qids, max(whole["avg_dl"] or 0.0, 1e-9), k, k1, b), "qid long, id long, score double")
+    return top_k(scored, k)
+
+
 def tfidf(posts: DataFrame, queries: DataFrame, n_docs: DataFrame) -> DataFrame:
     """Cosine of (1 + ln tf) * (ln((1 + N) / (1 + n)) + 1) vectors; query terms that no document has are left out."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))

@@ -58,8 +58,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def bm25_ranked(spark: SparkSession, sf_dir: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    posts, queries, sizes = _parts(spark, sf_dir)
-    return lexical.top_k(lexical.bm25(posts, queries, sizes, k1, b), k)
+    return lexical.bm25_top(_docs(spark, sf_dir), lexical.query_terms(table(spark, sf_dir, "benchmark")), k, k1, b)
 
 
 def tfidf_ranked(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
