@@ -10,6 +10,8 @@ documents. So neither text nor a (document, trigram) pair is shuffled.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +61,17 @@ def trigrams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     return code[inside], np.concatenate(([0], np.cumsum(size + 1)))
 
 
+def _by_fold(batches):
+    """Batches of one fold each."""
+    for batch in batches:
+        fold = batch.column("fold").to_numpy(zero_copy_only=False)
+        for f in np.unique(fold):
+            yield batch.filter(pa.array(fold == f))
+
+
 def _count(batches):
     part, n = TaskContext.get().partitionId(), 0
-    for batch in batches:
+    for batch in _by_fold(batches):
         for at, offsets, data in slices(batch.column("text")):
             codes, bounds = trigrams(offsets, data)
             names, back = np.unique(codes, return_inverse=True)
@@ -74,6 +84,7 @@ def _count(batches):
             rows = len(sizes)
             row = {
                 "block": pa.array([(part << 24) + n], pa.int64()),
+                "fold": batch.column("fold").slice(at, 1),
                 **{c: pa.array([batch.column(c).slice(at, rows).to_pylist()], t) for c, t in (("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("marks", pa.list_(pa.int64())))},
                 "tokens": pa.array([np.diff(bounds).tolist()], pa.list_(pa.int64())),
                 "sizes": pa.array([sizes], pa.list_(pa.int64())),
@@ -205,13 +216,30 @@ def _score(shards: int):
     return run
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", mark: Column | None = None) -> DataFrame:
-    """``(doc_id, lang, mark, n_tokens, logp)`` for each row of ``docs``; ``trusted`` has the ids of trusted rows."""
-    plain = docs.select(F.col(key).cast("long").alias("ids"), F.col(lang).cast("string").alias("langs"), (mark if mark is not None else F.lit(0)).cast("long").alias("marks"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    blocks = settle(plain.mapInArrow(_count, "block long, ids array<long>, langs array<string>, marks array<long>, tokens array<long>, sizes array<long>, codes binary, own binary, times binary"), "blocks")
+def perplexities(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", mark: Column | None = None, folds: int = 1) -> DataFrame:
+    """``(doc_id, lang, mark, n_tokens, logp)`` for each row of ``docs``; ``trusted`` has the ids of trusted rows.
+
+    With more than one of ``folds``, rows are dealt by id and each fold is
+    scored by a model of the other folds' trusted rows: no text by itself.
+    """
+    plain = docs.select(F.col(key).cast("long").alias("ids"), F.col(lang).cast("string").alias("langs"), (mark if mark is not None else F.lit(0)).cast("long").alias("marks"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), fold_of(F.col(key), folds).alias("fold"))
+    blocks = settle(plain.mapInArrow(_count, "block long, fold int, ids array<long>, langs array<string>, marks array<long>, tokens array<long>, sizes array<long>, codes binary, own binary, times binary"), "blocks")
     places = blocks.select("block", F.posexplode("ids").alias("at", "id"))
     good = places.join(trusted.select(F.col(key).alias("id")).distinct(), "id").groupBy("block").agg(F.collect_list("at").alias("trusted"))
-    counted = blocks.join(good, "block", "left").select("sizes", "codes", "own", "times", "trusted").mapInArrow(_train, "code long, c long")
+    marked = blocks.join(good, "block", "left")
+    return settle(reduce(DataFrame.union, [_scores(blocks, marked, f, folds) for f in range(folds)]), "scores")
+
+
+def fold_of(key: Column, folds: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("long")), F.lit(folds)).cast("int")
+
+
+def _scores(blocks: DataFrame, marked: DataFrame, fold: int, folds: int) -> DataFrame:
+    """Scores of one fold's rows; all its trigrams are in the model, with the counts of the others (of all, where there is one fold)."""
+    if folds > 1:
+        blocks = blocks.where(F.col("fold") == fold)
+        marked = marked.withColumn("trusted", F.when(F.col("fold") != fold, F.col("trusted"))).where(F.col("trusted").isNotNull() | (F.col("fold") == fold))
+    counted = marked.select("sizes", "codes", "own", "times", "trusted").mapInArrow(_train, "code long, c long")
     grams = settle(counted.groupBy("code").agg(F.sum("c").alias("c")), "grams")
     probs = settle(model(grams), "model")
     shards = max(8, -(-probs.count() // SHARD))
@@ -220,25 +248,31 @@ def perplexities(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     replies = asked.join(held, "shard").mapInArrow(_reply, "block long, shard int, found binary")
     mine = replies.groupBy("block").agg(F.collect_list(F.struct("shard", "found")).alias("replies"))
     full = blocks.join(mine, "block", "left").select("ids", "langs", "marks", "tokens", "sizes", "codes", "own", "times", "replies")
-    return settle(full.mapInArrow(_score(shards), "doc_id long, lang string, mark long, n_tokens long, logp double"), "scores")
+    return full.mapInArrow(_score(shards), "doc_id long, lang string, mark long, n_tokens long, logp double")
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.3, steady: int = 60, mark: Column | None = None) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, steady: int = 60, mark: Column | None = None) -> DataFrame:
     """``(doc_id, lang, mark, n_tokens, perplexity, threshold, keep)`` for each row of ``docs``.
 
-    The model is trained on all documents that ``labels`` gives quality 1.
-    A document is kept if its perplexity is at most ``slack`` times the
-    ``quantile`` of its language's trusted documents (of all of them, where its
-    language has none; without trusted documents all are kept). Perplexity
+    The model is trained on the documents that ``labels`` gives quality 1.
+    A document is kept if its perplexity is at most the ``quantile`` of its
+    language's trusted documents (of all of them, where its language has none;
+    without trusted documents all are kept). Documents are
+    scored by the model of the other half's trusted ones, so the quantile is of
+    text that the model has not seen, as are all others; only where a half has
+    no trusted document, one model is made of all. Fewer than 1 / (1 -
+    ``quantile``) documents do not reach the quantile: there it is at least
+    that of a log-normal spread with their mean and deviation. Perplexity
     counts ``steady`` characters of the language's average besides the
     document's own, so short texts are not rejected by chance.
 
-    Null text is empty: one token, the end. A null language is a language of
-    its own. Documents labelled both ways are trusted. Repeated rows are
+    Null text is empty: one token, the end; there is nothing to judge, it is
+    kept. A null language is a language of its own. Documents labelled both ways are trusted. Repeated rows are
     scored alike. Empty tables give empty results; other columns do not matter.
     """
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    scored = perplexities(docs, trusted, mark=mark)
+    halves = docs.select("doc_id").join(trusted, "doc_id", "left_semi").agg(F.count_distinct(fold_of(F.col("doc_id"), 2)).alias("n")).first()["n"]
+    scored = perplexities(docs, trusted, mark=mark, folds=2 if halves == 2 else 1)
     good = scored.join(trusted, "doc_id", "left_semi")
     means = good.groupBy("lang").agg((F.sum("logp") / F.sum("n_tokens")).alias("mean"))
     every = good.agg((F.sum("logp") / F.sum("n_tokens")).alias("every"))
@@ -249,8 +283,11 @@ def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, s
 
     measured = settle(with_perplexity(scored), "perplexity")
     best = measured.join(trusted, "doc_id", "left_semi")
-    bounds = best.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 100000) * slack).alias("own"))
-    whole = best.agg((F.percentile_approx("perplexity", quantile, 100000) * slack).alias("whole"))
+    ranked = F.percentile_approx("perplexity", quantile, 100000)
+    spread = F.exp(F.avg(F.log("perplexity")) + NormalDist().inv_cdf(quantile) * F.stddev_samp(F.log("perplexity")))
+    bound = F.when(F.count("*") * (1 - quantile) < 1, F.greatest(ranked, spread)).otherwise(ranked)
+    bounds = best.groupBy("lang").agg(bound.alias("own"))
+    whole = best.agg(bound.alias("whole"))
     out = measured.alias("d").join(F.broadcast(whole)).join(bounds.alias("b"), F.expr("d.lang <=> b.lang"), "left")
     threshold = F.coalesce("own", "whole")
-    return out.select("d.doc_id", "d.lang", "d.mark", "d.n_tokens", "d.perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("keep"))
+    return out.select("d.doc_id", "d.lang", "d.mark", "d.n_tokens", "d.perplexity", threshold.alias("threshold"), ((F.col("n_tokens") == 1) | F.coalesce(F.col("perplexity") <= threshold, F.lit(True))).alias("keep"))

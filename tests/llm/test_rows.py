@@ -375,3 +375,27 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert got.keep[[i for i, *_ in clean]].all() and not got.keep[[i for i, _ in junk]].any() and got.keep[300]
     assert kneser_ney.judge_quality(make_docs(spark, clean).limit(0), labels).count() == 0
     assert kneser_ney.judge_quality(make_docs(spark, clean[:5]), labels.limit(0)).toPandas().keep.all()
+
+
+def test_quality_threshold_is_the_quantile_itself(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    got = kneser_ney.judge_quality(docs, labels).join(labels, "doc_id").toPandas()
+    low, best = got[got.quality == 0], got[got.quality == 1]
+    assert (~low.keep).mean() >= 0.9 and best.keep.mean() >= 0.98
+    for _, part in best.groupby("lang"):
+        logs = np.log(part.perplexity)
+        assert part.threshold.iloc[0] <= max(part.perplexity.max(), np.exp(logs.mean() + 2.5759 * logs.std())) * 1.0001
+
+
+def test_quality_scores_no_text_by_itself(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, "".join(rng.choice(list("abcdefgh "), 60))) for i in range(40)]
+    trusted = spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
+    got = kneser_ney.perplexities(make_docs(spark, rows), trusted, folds=2).toPandas().set_index("doc_id")
+    fold = {r.doc_id: r.f for r in trusted.select("doc_id", kneser_ney.fold_of(F.col("doc_id"), 2).alias("f")).collect()}
+    for f in (0, 1):
+        prob = plain_model([t for i, t in rows if fold[i] != f])
+        for i, t in rows:
+            if fold[i] == f:
+                s = ["<", "<", *t, ">"]
+                assert abs(got.logp[i] - sum(math.log(prob(*g)) for g in zip(s, s[1:], s[2:]))) < 1e-6
