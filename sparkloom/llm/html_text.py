@@ -138,11 +138,11 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The page's content: blocks in page order, two line ends between them; empty if there is none.
 
     Lines in elements that cannot be content are left out by the parser
-    events. Of the others, text-to-tag ratios are smoothed and split by a
-    threshold, their standard deviation at most. The region with the most text
-    above it is the content: an article or main part whole, if it lies in one,
-    else all lines from the first to the last above the threshold, and the
-    headline just before.
+    events. Of the others, the logarithms of text-to-tag ratios are smoothed
+    and split by a threshold, their standard deviation at most: one long line
+    does not move it much. Each run of lines in or outside an article or main
+    part that has a line above it is content, from the first to the last such
+    line, with the headline just before and what else the part itself holds.
     """
     if not html:
         return ""
@@ -153,18 +153,17 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = page.lines
     if not lines:
         return ""
-    ratios = np.array([len(t) / max(1, n) for t, n, _ in lines], np.float64)
+    ratios = np.log1p(np.array([len(t) / max(1, n) for t, n, _ in lines], np.float64))
     level = smoothed(ratios, sigma)
     high = level >= min(level.std(), level.max())
-    weight: dict[int, int] = {}
-    for k in np.flatnonzero(high):
-        weight[lines[k][2]] = weight.get(lines[k][2], 0) + len(lines[k][0])
-    region = max(weight, key=lambda r: (r > 0, weight[r]))
-    if region:
-        kept = [t for t, _, r in lines if r == region]
-    else:
-        at = np.flatnonzero(high)
-        kept = [t for t, _, _ in lines[max(0, at[0] - 1) : at[-1] + 1]]
+    region = np.array([r for _, _, r in lines])
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(region)) + 1, [len(lines)]))
+    kept = []
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        at = np.flatnonzero(high[start:end])
+        if len(at):
+            own = lines[start:end] if region[start] else lines[start + max(0, at[0] - 1) : start + at[-1] + 1]
+            kept += [t for t, _, _ in own]
     return "\n\n".join(kept)
 
 

@@ -197,6 +197,16 @@ def test_main_text():
     assert [html_text.main_text(x) for x in (None, "", "<p>", "<nav>a</nav>", "plain")] == ["", "", "", "", "plain"]
 
 
+def test_main_text_keeps_every_content_block():
+    blocks = ["Title", *[f"{k} " + "word " * 60 for k in range(6)], "long " * 1200, *[f"{k} " + "word " * 60 for k in range(6, 12)]]
+    body = "".join(f"<p>{t}</p>" for t in blocks)
+    assert html_text.main_text(f"<div>{body}</div>").split("\n\n") == [t.strip() for t in blocks]
+    two = "<article><p>First " + "one " * 50 + "</p></article><article><p>Second " + "two " * 20 + "</p></article>"
+    assert html_text.main_text(two).split("\n\n") == [("First " + "one " * 50).strip(), ("Second " + "two " * 20).strip()]
+    teaser = "<article><p>Teaser text here.</p></article><div><p>" + "real text " * 50 + "</p></div>"
+    assert html_text.main_text(teaser).split("\n\n") == ["Teaser text here.", ("real text " * 50).strip()]
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "<p>x y</p>", "t"), (3, "u", "<p>x y</p>", "t"), (4, "u", "<article>" + "<p>word</p>" * 20000, "t")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).orderBy("page_id").toPandas()
