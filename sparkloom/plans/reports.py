@@ -46,6 +46,16 @@ def _(spark, sf):
     return pieces.groupBy("doc_id").agg((body == F.first("text")).alias("equal"))
 
 
+@query("txt30_whole_windows")
+def _(spark, sf):
+    """As above over all documents, of any length; no text is no window, a null text gives null."""
+    docs = t(spark, sf, "documents")
+    n = F.greatest(F.lit(1), F.ceil((F.coalesce(F.length("text"), F.lit(0)) - 20) / 60.0).cast("int"))
+    windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * 60 + 1, F.lit(80)))
+    own = F.transform(windows, lambda w, i: F.when(i == 0, w).otherwise(F.substring(w, F.lit(21), F.lit(80))))
+    return docs.select("doc_id", (F.array_join(own, "") == F.col("text")).alias("equal"))
+
+
 @query("txt13_txt15_context_rules", "select item_id, list_concat(case when contains(text, 'the') or (contains(text, 'of') and not contains(text, 'and')) then ['article'] else [] end, case when contains(text, 'de ') then ['link'] else [] end) as concepts from benchmark")
 def _(spark, sf):
     has = lambda w: F.contains("text", F.lit(w))

@@ -98,6 +98,15 @@ def test_queries_match_sql(spark, name):
     assert rows(got.select(*cols).collect()) == rows(want.select(", ".join(cols)).fetchall())
 
 
+def test_windows_of_texts_of_any_length(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = ["", "short", "x" * 80, "abcdé" * 37, "long text " * 2000]
+    spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(texts)] + [(9, "y" * 3000, None)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.equal for r in entry.queries()["txt30_whole_windows"](spark, str(tmp_path)).collect()}
+    assert got == {k: True for k in (0, 1, 2, 3, 4, 9)}
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
