@@ -146,6 +146,14 @@ def _(spark, sf):
     return hits.groupBy("qid").agg(F.array_join(F.transform(listed, lambda s: s["line"]), "\n").alias("context"))
 
 
+@query("txt32_whole_context", f"""with {TOP} select qid, string_agg('[' || rank || '] ' || d.source || ': ' || d.text, chr(10) order by rank) as context from a_r join documents d on d.doc_id = id where rank <= 3 group by qid""")
+def _(spark, sf):
+    hits = bm25_ranked(spark, sf, 20).where("rank <= 3").join(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text"), "id")
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "source", F.lit(": "), "text")
+    listed = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    return hits.groupBy("qid").agg(F.array_join(F.transform(listed, lambda s: s["line"]), "\n").alias("context"))
+
+
 @query("txt28_guide_topics", "select b.item_id, r.topic from benchmark b join (values ('articles', 'the '), ('links', 'and '), ('places', ' in ')) r(topic, mark) on contains(b.text, r.mark)")
 def _(spark, sf):
     rules = spark.createDataFrame([("articles", "the "), ("links", "and "), ("places", " in ")], "topic string, mark string")

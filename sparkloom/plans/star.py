@@ -357,6 +357,11 @@ def _(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), "source", F.lit(" | "), "lang", F.lit("] "), F.substring(F.trim("text"), 1, 40)).alias("body"), F.regexp_replace(F.concat_ws("-", "source", "lang", F.col("doc_id").cast("string")), r"\s+", "").alias("chunk_id"), token_estimate(F.col("text")).alias("tokens"))
 
 
+@query("prj06_whole_body", "select doc_id, '[' || source || ' | ' || lang || '] ' || trim(text) as body from documents")
+def _(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), "source", F.lit(" | "), "lang", F.lit("] "), F.trim("text")).alias("body"))
+
+
 # ---- merges --------------------------------------------------------------------
 
 

@@ -98,6 +98,11 @@ def test_queries_match_sql(spark, name):
     assert rows(got.select(*cols).collect()) == rows(want.select(", ".join(cols)).fetchall())
 
 
+@pytest.mark.parametrize("name", ["prj06_whole_body", "txt32_whole_context", "prj01_whole_evidence"])
+def test_whole_texts_match_sql(spark, name):
+    test_queries_match_sql(spark, name)
+
+
 def test_windows_of_texts_of_any_length(spark, tmp_path):
     import __spark_entry__ as entry
 
