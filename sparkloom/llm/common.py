@@ -1,17 +1,25 @@
-"""Shared pieces: shared-folder tables, worker shipping, connected components."""
+"""Shared pieces: shared-folder tables, row marks, worker shipping, connected components."""
 
 from __future__ import annotations
 
 import sys
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 #: White space of the word contracts.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of 16 bytes that are broadcast at most; larger tables are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+#: Links from which on a round's minima are written, so that a hub's rows can be split between tasks.
+HUB_LINKS = 1_000_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def ship(module: str) -> None:
@@ -23,9 +31,14 @@ ship(__name__)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode, where both are one process.
+
+    Raises ValueError on a cluster without ``spark.checkpoint.dir``.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -34,22 +47,87 @@ def shared_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame, name: str = "t", tasks: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later plans start from files that outlive executors.
 
-    ``tasks``: at most so many tasks make its last step, for tables known to be small.
+    The shuffle files of the written plan go with its execution. ``tasks``: at
+    most so many tasks make its last step, for tables known to be small.
     """
     if tasks:
         df = df.coalesce(tasks)
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more; other DataFrames are left alone."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_mark(df: DataFrame) -> Column:
+    """64 bits of all columns of a row, nulls told apart from values. With the row's key it names the row's content."""
+    parts: list[Column] = []
+    for field in df.schema.fields:
+        own = column(field.name)
+        parts += [own.isNull(), F.array_sort(F.map_entries(own)) if isinstance(field.dataType, MapType) else own]
+    return F.xxhash64(*parts)
+
+
+def row_key(name: str = "doc_id") -> Column:
+    """The key as a number that joins: null as 0, which the row's mark tells apart."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(0))
+
+
+def marked_rows(docs: DataFrame, rows: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` that are (``left_semi``) or are not (``left_anti``) in ``rows``, distinct pairs ``(key, mark)``.
+
+    Up to BROADCAST_ROWS pairs are broadcast, so no text is shuffled; beyond
+    that the join shuffles by key. The result is the same.
+    """
+    a, b = fresh(docs, "key", "mark")
+    asked = rows.select(F.col("key").alias(a), F.col("mark").alias(b))
+    if rows.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    named = docs.select("*", row_key(key).alias(a), row_mark(docs).alias(b))
+    return named.join(asked, [a, b], how).select(*[column(c) for c in docs.columns])
 
 
 def components(edges: DataFrame, vertex: str = "bigint") -> DataFrame:
     """Connected components of undirected links ``(a, b)``, as ``(id, component)`` with the smallest id of each.
 
-    Alternating large-star / small-star rounds, each a shuffle on one column;
-    a third rule or hub of links is cut down by ``min`` before it is joined.
-    Rows with a null or equal ends link nothing. Vertices without a link are not returned.
+    Rounds of large-star and small-star, each a shuffle on one column. Links
+    are kept as (larger end, smaller end). A round joins links to the minima of
+    their ends; with many links the minima are written first, so that Spark can
+    split the rows of a hub over several tasks. Rows with a null or equal ends
+    link nothing. Vertices without a link are not returned.
     """
     cur = settle(
         edges.where("a is not null and b is not null and a <> b")
@@ -65,12 +143,19 @@ def components(edges: DataFrame, vertex: str = "bigint") -> DataFrame:
             break
         before = state
         tasks = -(-seen["n"] // 100_000)  # few links need few tasks a round
-        both = cur.select("u", "v").union(cur.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = settle(large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "links", tasks)
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
+
+        def minima(links: DataFrame, n: int = seen["n"]) -> DataFrame:
+            low = links.groupBy("u").agg(F.min("v").alias("m"))
+            return settle(low, "minima") if n > HUB_LINKS else low
+
+        low = minima(cur)
+        # each larger neighbour of a vertex, and the vertex itself, goes to the smallest that the vertex sees
+        up = cur.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = settle(up.union(low.select("u", F.col("m").alias("v"))).distinct(), "links", tasks)
+        small_low = minima(large)
         small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = settle(small.union(small_low.select("u", F.col("m").alias("v"))).distinct(), "links", tasks)
+        after = settle(small.union(small_low.select("u", F.col("m").alias("v"))).distinct(), "links", tasks)
+        release(cur, low, large, small_low)
+        cur = after
     roots = cur.select(F.col("v").alias("id")).distinct()
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component"))).select(F.col("id").cast(vertex), F.col("component").cast(vertex))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, ship
+from .common import WORD, column, fresh, release, row_mark, settle, ship
 
 ship(__name__)
 
+#: Sources whose facts are broadcast at most.
+BROADCAST_SOURCES = 100_000
+#: Rows of a slice of the rank scale, about.
+SLICE = 2048
+
 
 def word_count(text: Column) -> Column:
     """Number of runs of non-white characters; null text has none."""
@@ -28,7 +35,8 @@ def water_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most
     capped sources leave goes to the others by weight, until none is above:
     in order of cap over weight, a source is capped if the level that the
     sources from it on would reach is at or above its own.
-    All sums are whole numbers up to the last division.
+    All sums are whole numbers up to the last division. One row a source: these
+    windows see no documents.
     """
     every = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.row_number().over(every) - 1) % len(weights) + 1)
@@ -46,7 +54,77 @@ def water_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most
         .withColumn("w_left", F.sum(F.when(~F.col("capped"), F.col("w"))).over(total))
     )
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise((F.col("w") * F.col("left")).cast("double") / F.col("w_left"))
-    return rows.select("source", "source_size", target.alias("target"))
+    return rows.select("source", "source_size", "source_rows", target.alias("target"))
+
+
+def _ranked(rows: DataFrame, facts: DataFrame, most: int) -> DataFrame:
+    """``rows`` (key, source, size, emphasis, u, mark) with their source's facts, whole copies and Pareto rank.
+
+    Facts are broadcast where the sources are few; else Spark joins and splits a hot source.
+    """
+    rate = F.when(F.col("d.size") > 0, F.least(F.lit(float(most)), F.try_divide(F.col("f.target"), F.col("f.source_size")) * F.col("d.emphasis"))).otherwise(0.0)
+    joined = rows.alias("d").join(facts.alias("f"), F.expr("d.source <=> f.source")).select("d.*", *[f"f.{c}" for c in facts.columns if c != "source"], F.floor(rate).cast("long").alias("copies"), rate.alias("rate"))
+    p = F.col("rate") - F.col("copies")
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    return joined.withColumn("p", p).withColumn("rank", F.when(F.col("p") > 0, odds)).drop("rate", "p")
+
+
+def _order(prefix: str = "") -> Column:
+    """A row's place among those of its source; rows that tie in it are equal in key, size and mark."""
+    return F.struct(*[F.col(prefix + c).alias(c) for c in ("rank", "key", "size", "mark")])
+
+
+def mixture(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """One row a source: size, target, and the place at which the sampling of its rows ends.
+
+    ``sized`` has key, source, size, emphasis, u and mark, but no text. Ranks are never
+    gathered by source: sizes are summed per slice of the rank scale, the
+    slice that holds the end is found on those sums, and only its distinct
+    places are ordered. Of ``cut_all`` equal rows at the end's place,
+    ``cut_take`` are taken.
+    """
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    targets = settle(water_targets(sources, weights, most), "targets", 1)
+    few = targets.count() <= BROADCAST_SOURCES
+    ranked = _ranked(sized, F.broadcast(targets) if few else targets, most)
+    part = F.try_divide(F.col("target"), F.col("source_size")) - F.floor(F.try_divide(F.col("target"), F.col("source_size")))
+    part = F.least(F.greatest(F.coalesce(part, F.lit(0.5)), F.lit(1e-6)), F.lit(1 - 1e-6))
+    # even slices: back from Pareto's scale to u's, as if all rows of the source had its own rate
+    even = F.col("rank") * part / (1 - part)
+    ranked = ranked.withColumn("slice", F.floor(even / (1 + even) * F.ceil(F.col("source_rows") / F.lit(SLICE))).cast("long"))
+    slices = settle(ranked.groupBy("source", "slice").agg(F.sum(F.when(F.col("rank").isNotNull(), F.col("size"))).alias("words"), F.sum(F.col("size") * F.col("copies")).alias("sure"), F.first("target").alias("target")), "slices")
+    # at most one row per SLICE documents and source
+    room = slices.groupBy("source").agg((F.first("target") - F.sum("sure")).alias("room"))
+    upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = slices.where("slice is not null").withColumn("ahead", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    ends = ahead.alias("a").join(room.alias("r"), F.expr("a.source <=> r.source")).where("ahead + words > room")
+    ends = settle(ends.groupBy("a.source").agg(F.min(F.struct("slice", "ahead", "room")).alias("e")).select("source", "e.*"), "ends", 1)
+    inside = ranked.alias("d").join(F.broadcast(ends).alias("e") if few else ends.alias("e"), F.expr("d.source <=> e.source and d.slice = e.slice")).select("d.source", "d.rank", "d.key", "d.size", "d.mark", "e.ahead", "e.room")
+    places = inside.groupBy("source", "rank", "key", "size", "mark", "ahead", "room").agg(F.count("*").alias("cut_all"))
+    line = Window.partitionBy("source").orderBy("rank", "key", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    placed = places.withColumn("before", F.col("ahead") + F.coalesce(F.sum(F.col("size") * F.col("cut_all")).over(line), F.lit(0))).where("before + size * cut_all > room")
+    half = F.floor((F.col("room") - F.col("before")) / F.col("size") + 0.5)
+    end = placed.groupBy("source").agg(F.min(F.struct("rank", "key", "size", "mark", "cut_all", F.greatest(F.lit(0), F.least(F.col("cut_all"), half)).cast("long").alias("cut_take"))).alias("cut"))
+    out = targets.alias("t").join(end.alias("c"), F.expr("t.source <=> c.source"), "left").select("t.source", "t.source_size", "t.target", F.expr("struct(c.cut.rank, c.cut.key, c.cut.size, c.cut.mark)").alias("cut"), F.col("c.cut.cut_all").alias("cut_all"), F.col("c.cut.cut_take").alias("cut_take"))
+    return settle(out, "mixture", 1)
+
+
+def _copies(rows: DataFrame, measured: Callable[[DataFrame], DataFrame], facts: DataFrame, most: int, carry: list[str]) -> DataFrame:
+    """``rows`` with ``copies``: those ahead of their source's end get one more. Equal rows at the end are counted, then dealt.
+
+    ``measured`` adds size, emphasis, u and mark to rows with key and source.
+    """
+    facts = F.broadcast(facts) if facts.count() <= BROADCAST_SOURCES else facts
+    near = rows.alias("d").join(facts.alias("f"), F.expr("d.source <=> f.source and d.key <=> f.cut.key"), "left_semi")
+    ranked, last = _ranked(measured(rows), facts, most), _ranked(measured(near), facts, most)
+    names = ["key", "source", "size", "source_size", "target", "copies", *carry]
+    at_end = F.coalesce(F.col("rank").isNotNull() & F.col("cut_all").isNotNull() & (_order() == F.col("cut")), F.lit(False))
+    ahead = F.col("rank").isNotNull() & (F.col("cut_all").isNull() | (_order() < F.col("cut")))
+    clear = ranked.where(~at_end).withColumn("copies", F.col("copies") + F.when(ahead, 1).otherwise(0)).select(*[column(n) for n in names])
+    ends = last.where(at_end).groupBy(*[column(n) for n in names], "cut_all", "cut_take").agg(F.count("*").alias("rows"))
+    each = F.explode(F.array(F.struct(F.lit(1).alias("more"), F.least("rows", "cut_take").alias("times")), F.struct(F.lit(0).alias("more"), (F.col("rows") - F.least("rows", "cut_take")).alias("times"))))
+    dealt = ends.withColumn("each", each).where("each.times > 0").withColumn("copies", F.col("copies") + F.col("each.more")).withColumn("one", F.explode(F.sequence(F.lit(1), F.col("each.times"))))
+    return clear.union(dealt.select(*[column(n) for n in names]))
 
 
 def mix_sources(
@@ -58,7 +136,6 @@ def mix_sources(
     most: int = 3,
     seed: int = 7,
     emphasis: Column | None = None,
-    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many copies of each row a mixture takes.
 
@@ -69,71 +146,41 @@ def mix_sources(
     order until the source's words reach its target; the row in which the
     target falls is taken if half of it or more fits.
 
-    Ranks are never gathered by source: rows are counted per (source, slice of
-    the rank scale), the slice that holds the end is found on those counts, and
-    only its rows are ordered. Slices hold some thousand rows at any size.
-
     Rows with null or empty text have size 0 and are taken 0 times. Null
-    sources form one source. Repeated rows are rows of their own; with an equal
-    key they tie, and either may be taken. Empty tables give empty results.
-    Returns key, size, source_size, target, copies, taken and ``carry``; other
-    columns of ``docs`` do not matter.
+    sources form one source. Repeated rows are rows of their own: they are
+    ordered by key, size and a hash of the text, and of rows equal in all three as
+    many as fit are taken. Empty tables give empty results. Returns doc_id,
+    source, size, source_size, target, copies and taken; other columns of
+    ``docs`` do not matter.
     """
-    p_key, p_source = F.col(key), F.col(source)
-    sized = settle(
-        docs.select(p_key.alias("doc_id"), p_source.alias("source"), word_count(F.col(text)).alias("size"), (emphasis if emphasis is not None else F.lit(1.0)).cast("double").alias("emphasis"), *[F.col(c).alias(f"carry_{c}") for c in carry]),
-        "sizes",
-    )
-    targets = water_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")).select("source", "source_size"), weights, most)
-    counts = sized.groupBy("source").agg(F.count("*").alias("source_rows"))
-    facts = targets.alias("t").join(counts.alias("n"), F.expr("t.source <=> n.source")).select("t.source", "t.source_size", "t.target", "n.source_rows")
-    facts = settle(facts, "targets")
-    rate = F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.try_divide(F.col("target"), F.col("source_size")) * F.col("emphasis"))).otherwise(0.0)
-    u = uniform(F.col("doc_id"), seed)
-    part = F.try_divide(F.col("target"), F.col("source_size")) - F.floor(F.try_divide(F.col("target"), F.col("source_size")))
-    part = F.least(F.greatest(F.coalesce(part, F.lit(0.5)), F.lit(1e-6)), F.lit(1 - 1e-6))
-    # even slices: back from Pareto's scale to u's, as if all rows of the source had its own rate
-    even = F.col("rank") * part / (1 - part)
-    ranked = (
-        sized.alias("d")
-        .join(facts.alias("f"), F.expr("d.source <=> f.source"))
-        .select("d.*", "f.source_size", "f.target", "f.source_rows")
-        .withColumn("copies", F.floor(rate).cast("long"))
-        .withColumn("p", rate - F.col("copies"))
-        .withColumn("u", u)
-        .withColumn("rank", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
-        .withColumn("slice", F.floor(even / (1 + even) * F.ceil(F.col("source_rows") / F.lit(2048))).cast("long"))
-    )
-    sure = ranked.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("sure"))
-    slices = ranked.where("rank is not null").groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    # at most one row per 2048 documents and source: the running sum of slices
-    upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("ahead", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    ends = (
-        slices.alias("s")
-        .join(sure.alias("c"), F.expr("s.source <=> c.source"))
-        .join(facts.alias("f"), F.expr("s.source <=> f.source"))
-        .select("s.source", "s.slice", "s.words", "s.ahead", (F.col("f.target") - F.col("c.sure")).alias("room"))
-    )
-    placed = ranked.alias("d").join(ends.alias("e"), F.expr("d.source <=> e.source and d.slice = e.slice"), "left").select("d.*", "e.words", "e.ahead", "e.room")
-    inside = placed.where("rank is not null and ahead < room and ahead + words > room")
-    line = Window.partitionBy("source", "slice").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(line), F.lit(0))).withColumn("extra", (F.col("before") + F.col("size") / 2 <= F.col("room")).cast("long"))
-    outside = placed.where("rank is null or ahead is null or ahead >= room or ahead + words <= room").withColumn("extra", F.when(F.col("rank").isNotNull() & (F.col("ahead") + F.col("words") <= F.col("room")), 1).otherwise(0).cast("long"))
-    both = inside.drop("before").unionByName(outside)
-    copies = F.col("copies") + F.col("extra")
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(f"carry_{c}").alias(c) for c in carry])
+    weight = emphasis if emphasis is not None else F.lit(1.0)
+    u = uniform(F.col(key), seed).alias("u")
+    sized = settle(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), weight.cast("double").alias("emphasis"), u, F.xxhash64(F.col(text)).alias("mark")), "sizes")
+    out = _copies(sized, lambda rows: rows, mixture(sized, weights, most), most, [])
+    return out.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def take_copies(docs: DataFrame, seed: int = 7) -> DataFrame:
+def take_copies(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mixture itself: each row as often as it is taken, with the columns of ``docs``.
 
-    Fully equal rows share their copies evenly.
+    Where sampling ends is found without texts; then one scan of ``docs``
+    repeats each row by its own key and its source's facts, without a shuffle.
+    Only rows equal in all columns at a source's end are counted together.
+    Null and empty texts are taken 0 times, null ids and sources count as
+    values; columns of any name, and empty tables, give what the rows say.
     """
-    names = docs.columns
-    marked = docs.withColumn("_mark", F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in names]))
-    chosen = mix_sources(marked, carry=("_mark",), seed=seed).groupBy("_mark").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    line = Window.partitionBy("_mark").orderBy("_mark")
-    mine = F.expr("cast(_copies div _rows + if(_line <= _copies % _rows, 1, 0) as int)")
-    joined = marked.join(chosen, "_mark").withColumn("_line", F.row_number().over(line)).withColumn("_mine", mine).where("_mine > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mine")))).select(*[F.col(f"`{c}`") for c in names])
+    # inner names stay inner: the row's own columns travel under numbers
+    inside = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.select(*[column(c).alias(i) for c, i in zip(docs.columns, inside, strict=True)], F.col("doc_id").alias("key"), F.col("source").alias("source"))
+    text = F.col(inside[[c.lower() for c in docs.columns].index("text")])
+
+    def measured(df: DataFrame) -> DataFrame:
+        own = df.select(*inside)
+        return df.withColumns({"size": word_count(text), "emphasis": F.lit(1.0), "u": uniform(F.col("key"), seed), "mark": row_mark(own)})
+
+    sized = settle(measured(rows).select("key", "source", "size", "emphasis", "u", "mark"), "sizes")
+    facts = mixture(sized, weights, most)
+    release(sized)
+    out = _copies(rows, measured, facts, most, inside).where("copies > 0")
+    (times,) = fresh(docs, "times")
+    return out.select(*[column(i).alias(c) for c, i in zip(docs.columns, inside, strict=True)], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(times)).drop(times)

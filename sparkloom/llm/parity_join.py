@@ -12,18 +12,24 @@ are verified on their whole shingle sets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, settle, ship
+from .common import BROADCAST_ROWS, components, release, settle, ship
 from .shingles import mix, set_hash, shingle_sets, slices
 
 ship(__name__)
 
 #: Members of a group that one task compares at a time; larger groups are dealt out in pairs of chunks.
 CHUNK = 1024
+#: One text in so many shows which sketch words are hot; members that make a word hot, about; parts a hot word is dealt into.
+SHOWN, HOT, PARTS = 64, 4096, 64
+#: Texts that are held against one center in a task.
+SIDE = 64
 
 
 def size_bands(percent: int, upto: int) -> tuple[list[int], list[int], list[int]]:
@@ -45,13 +51,17 @@ def size_bands(percent: int, upto: int) -> tuple[list[int], list[int], list[int]
     return starts[: len(most)], most, sketch
 
 
-def _own_sets(k: int):
+def _own_sets(k: int, seed: int):
+    """Size, hash, second hash and bit sketch of each row's shingle set."""
+
     def run(batches):
         for batch in batches:
-            text = batch.column(1)
-            for at, offsets, data in slices(text):
+            for at, offsets, data in slices(batch.column("text")):
                 tokens, bounds = shingle_sets(offsets, data, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bounds) - 1), pa.array(np.diff(bounds)), pa.array(set_hash(tokens, bounds))], names=["doc_id", "n_shingles", "node"])
+                rows = len(bounds) - 1
+                sketch = [bit_sketch(tokens[bounds[r] : bounds[r + 1]]).tobytes() for r in range(rows)]
+                kept = [batch.column(c).slice(at, rows) for c in ("doc_id", "mark")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(bounds)), pa.array(set_hash(tokens, bounds, seed)), pa.array(set_hash(tokens, bounds, ~seed & 0xFFFF)), pa.array(sketch, pa.binary())], names=["doc_id", "mark", "n_shingles", "node", "twin", "sketch"])
 
     return run
 
@@ -107,13 +117,13 @@ def sketch_keys(tokens: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[n
     return np.concatenate(all_keys), np.concatenate(all_rows)
 
 
-def _keys(k: int, percent: int):
+def _keys(k: int, percent: int, seed: int):
     def run(batches):
         done: set[int] = set()  # copies within a task give their keys once
         for batch in batches:
             for _, offsets, data in slices(batch.column(0)):
                 tokens, bounds = shingle_sets(offsets, data, k)
-                node = set_hash(tokens, bounds)
+                node = set_hash(tokens, bounds, seed)
                 fresh = np.zeros(len(node), bool)
                 for r, x in enumerate(node.tolist()):
                     if x not in done:
@@ -146,20 +156,6 @@ def most_apart(n_a, n_b, percent: int):
     return (100 - percent) * (n_a + n_b) // (100 + percent)
 
 
-def _sketches(k: int):
-    def run(batches):
-        for batch in batches:
-            want = batch.column("node").to_pylist()
-            for at, offsets, data in slices(batch.column("text")):
-                tokens, bounds = shingle_sets(offsets, data, k)
-                node = set_hash(tokens, bounds).tolist()
-                keep = [r for r in range(len(node)) if node[r] == want[at + r]]
-                own = [bit_sketch(tokens[bounds[r] : bounds[r + 1]]).tobytes() for r in keep]
-                yield pa.RecordBatch.from_arrays([pa.array([node[r] for r in keep], pa.int64()), pa.array([int(bounds[r + 1] - bounds[r]) for r in keep], pa.int64()), pa.array(own, pa.binary()), batch.column("text").take(pa.array([at + r for r in keep], pa.int64()))], names=["node", "n", "sketch", "text"])
-
-    return run
-
-
 def _near_pairs(percent: int):
     """Pairs whose sketches do not rule them out."""
 
@@ -177,10 +173,10 @@ def _near_pairs(percent: int):
     return run
 
 
-def _open_groups(percent: int, spanning: bool):
-    """Pairs of members in different components that sketches do not rule out; rows come sorted by group and chunks.
+def _open_groups(percent: int, few: int):
+    """Pairs that would join components of a group, where sketches and failed tests do not rule them out; rows come sorted by group and chunks.
 
-    ``spanning``: only pairs that would join components that the group's pairs so far have not.
+    A member brings ``few`` pairs at most with each other component, which then counts as joined.
     """
 
     def flush(run: list) -> pa.RecordBatch:
@@ -194,15 +190,22 @@ def _open_groups(percent: int, spanning: bool):
             for r in range(len(run) - 1):
                 other = np.arange(r + 1, len(run))
                 other = other[(comp[other] != comp[r]) & ((chunk[other] != chunk[r]) | (not across))]
+                if run[r]["failed"]:
+                    other = other[~np.isin(node[other], run[r]["failed"])]
                 if not len(other):
                     continue
                 apart = np.bitwise_count(bits[other] ^ bits[r]).sum(1)
                 other = other[apart <= most_apart(size[other], size[r], percent)]
-                if spanning and len(other):
-                    other = other[np.unique(comp[other], return_index=True)[1]]
-                    comp[np.isin(comp, comp[other])] = comp[r]
-                out_a += np.minimum(node[other], node[r]).tolist()
-                out_b += np.maximum(node[other], node[r]).tolist()
+                met, first, times = np.unique(comp[other], return_index=True, return_counts=True)
+                if few > 1 and len(met):
+                    order = np.argsort(comp[other], kind="stable")
+                    begin = np.cumsum(times) - times
+                    other = other[np.concatenate([order[b : b + few] for b in begin])]
+                else:
+                    other = other[first]
+                comp[np.isin(comp, met)] = comp[r]
+                out_a += [int(node[r])] * len(other)
+                out_b += node[other].tolist()
         return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     def work(batches):
@@ -229,99 +232,161 @@ def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def _verify(k: int, percent: int):
+    """Whole shingle sets of a side's texts against its center's, which comes first."""
+
     def run(batches):
+        center = np.zeros(0, np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                ok = []
-                for x, y in zip(_sets(part.column(2), k), _sets(part.column(3), k), strict=True):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                a, b, ok = [], [], []
+                for a_, b_, x in zip(part.column("a").to_pylist(), part.column("node").to_pylist(), _sets(part.column("text"), k), strict=True):
+                    if a_ == b_:
+                        center = x
+                        continue
+                    shared = len(np.intersect1d(center, x, assume_unique=True))
+                    a.append(a_)
+                    b.append(b_)
+                    ok.append(100 * shared >= percent * (len(center) + len(x) - shared))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for each row: the smallest id reachable by links of Jaccard similarity ``percent`` or more.
+def _small(df: DataFrame) -> DataFrame:
+    """A settled table of ids, broadcast where it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    Links need not all be listed for that: within the group of one sketch
-    word, each member meets the group's first; then, in groups whose members
-    are in different components, such members meet. Pairs that meet are
-    first held against each other by bit sketches, whose Hamming distance is no
-    more than the symmetric difference. Of what is left, pairs of different
-    components are verified on their texts until none is left. So the
-    components are exact. Equal sets are one node throughout, however many
-    rows have them.
 
-    Null or empty texts, or texts of white space, have no shingles and link
-    with nothing. Repeated rows are in one component. A null id stays null and
-    is never the smallest while its component has another. Empty tables give
-    empty results; other columns do not matter.
+def jaccard_rows(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text", mark: Column | None = None) -> DataFrame:
+    """``(doc_id, mark, n_shingles, component_id, first_key, first_mark)`` for each row; see ``jaccard_components``.
+
+    ``mark`` is a hash of a row's content (of its text, by default). The first row of a
+    component, by id (null last) and mark, is named by key (0 for null) and
+    mark. For rows without shingles these two are null.
     """
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    nodes = settle(plain.mapInArrow(_own_sets(k), "doc_id long, n_shingles long, node long"), "sets")
-    by_node = Window.partitionBy("key").orderBy("node")
-    keys = plain.select("text").mapInArrow(_keys(k, percent), "key long, node long")
-    seen = keys.select("key", "node", F.first("node").over(by_node.rowsBetween(Window.unboundedPreceding, 0)).alias("center"), F.lag("node").over(by_node).alias("back"), F.lead("node").over(by_node).alias("ahead"))
-    groups = settle(seen.where("(node = center and ahead <> node) or (node <> center and back <> node)").select("key", "node", "center"), "groups")
-
-    reps = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-
-    wanted = groups.select("node").distinct().join(reps, "node")
-    texts = plain.join(wanted, "doc_id").select("node", "text").mapInArrow(_sketches(k), "node long, n long, sketch binary, text string")
-    # an id on several rows can bring a text of this node's more than once
-    texts = settle(texts.dropDuplicates(["node"]), "texts")
-    sketches = texts.select("node", "n", "sketch")
-
-    met = groups.where("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
-    left = met.join(sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    both = left.join(sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    near = settle(both.mapInArrow(_near_pairs(percent), "a long, b long"), "near")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long, ok boolean")
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), (mark if mark is not None else F.xxhash64(F.col(text))).alias("mark"), F.col(text).cast("string").alias("text"))
+    seed = 0
+    while True:
+        sets = settle(plain.mapInArrow(_own_sets(k, seed), "doc_id long, mark long, n_shingles long, node long, twin long, sketch binary"), "sets")
+        full = sets.where("n_shingles > 0")
+        reps = settle(full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"), F.min("twin").alias("low"), F.max("twin").alias("high")), "reps")
+        if reps.where("low <> high").isEmpty():
+            break
+        seed += 1  # two sets share 64 bits: hash all anew
+        release(sets, reps)
+
+    def words(rows: DataFrame) -> DataFrame:
+        return rows.select("text").mapInArrow(_keys(k, percent, seed), "key long, node long")
+
+    # which words are hot only decides how they are dealt out, not what meets
+    shown = plain.where(F.pmod(F.xxhash64("text"), F.lit(SHOWN)) == 0)
+    hot = settle(words(shown).groupBy("key").agg(F.count_distinct("node").alias("m")).where(F.col("m") * SHOWN >= HOT).select("key"), "hot")
+    dealt = words(plain).join(_small(hot.select("key", F.lit(True).alias("hot"))), "key", "left")
+    dealt = dealt.select("key", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(-1).cast("int").alias("part"), "node")
+    by_node = Window.partitionBy("key", "part").orderBy("node")
+    seen = dealt.select("key", "part", "node", F.first("node").over(by_node.rowsBetween(Window.unboundedPreceding, 0)).alias("center"), F.lag("node").over(by_node).alias("back"), F.lead("node").over(by_node).alias("ahead"))
+    member = "(node = center and (part >= 0 or ahead <> node)) or (node <> center and back <> node)"
+    groups = settle(seen.where(member).select("key", "part", "node", "center"), "groups")
+    heads = groups.where("part >= 0 and node = center").select("key", "node", F.min("node").over(Window.partitionBy("key")).alias("center"))
+    links = groups.select("node", "center").union(heads.select("node", "center")).where("node <> center").distinct()
+
+    wanted = groups.select("node").distinct()
+    sketches = settle(full.select("node", F.col("n_shingles").alias("n"), "sketch").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    left = links.join(sketches.select(F.col("node").alias("center"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "center")
+    both = left.join(sketches.select("node", F.col("n").alias("nb"), F.col("sketch").alias("sb")), "node")
+    near = settle(both.select(F.col("center").alias("a"), F.col("node").alias("b"), "na", "nb", "sa", "sb").mapInArrow(_near_pairs(percent), "a long, b long"), "near")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        asked = settle(nodes.join(reps, "node").select("node", F.coalesce("first.doc_id", F.lit(0)).alias("key"), F.col("first.mark").alias("mark")), "asked")
+        rows = plain.select(F.coalesce("doc_id", F.lit(0)).alias("key"), "mark", "text").join(_small(asked), ["key", "mark"]).select("node", "text")
+        out = settle(rows.dropDuplicates(["node"]), "texts")
+        release(asked)
+        return out
+
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Each center's text meets the texts of its pairs, so many at a time: a text travels once a pair, a center once a side."""
+        times = pairs.groupBy("a").agg(F.count("*").alias("m"))
+        sides = pairs.join(times, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / SIDE)).cast("int").alias("side"))
+        asked = sides.select("a", "side", F.lit(1).alias("role"), F.col("b").alias("node")).union(sides.select("a", "side", F.lit(0).alias("role"), F.col("a").alias("node")).distinct())
+        asked = settle(asked, "sides")
+        rows = texts.join(_small(asked), "node").select("a", "side", "role", "node", "text")
+        out = settle(rows.repartition("a", "side").sortWithinPartitions("a", "side", "role").mapInArrow(_verify(k, percent), "a long, b long, ok boolean"), "tested")
+        release(asked)
+        return out
 
     def labelled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         a, b = (comp.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
         return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
-    def connected(near: DataFrame, tested: DataFrame | None, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Components once no pair of ``near`` is open; a few pairs of each component a round, most are settled by then."""
-        few = 1
+    tested: list[DataFrame] = []
+
+    def connected(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """Components once no pair is open; a few pairs of each component a round, most are settled by then."""
+        few, texts, mine = 1, texts_of(pairs), []
         while True:
-            fresh = near if tested is None else near.join(tested, ["a", "b"], "left_anti")
-            crossing = fresh.withColumns({"ca": F.col("a"), "cb": F.col("b")}) if comp is None else labelled(fresh, comp)
+            crossing = labelled(pairs, comp)
+            for done in mine:
+                crossing = crossing.join(done.select("a", "b"), ["a", "b"], "left_anti")
             line = Window.partitionBy(F.greatest("ca", "cb")).orderBy(F.least("ca", "cb"), "a", "b")
             pick = settle(crossing.withColumn("r", F.row_number().over(line)).where(F.col("r") <= few).select("a", "b"), "pick")
-            if comp is not None and pick.isEmpty():
-                return comp, tested
-            found = verified(pick)
-            tested = settle(found if tested is None else tested.union(found), "tested")
-            comp = settle(components(tested.where("ok").select("a", "b")), "components")
-            few *= 4
-
-    comp, tested = connected(near, None, None)
-    for spanning in (True, False):
+            if pick.isEmpty():
+                release(pick, texts)
+                return comp
+            mine.append(verified(pick, texts))
+            tested.append(mine[-1])
+            after = settle(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(mine[-1].where("ok").select("a", "b"))), "components")
+            release(pick, comp)
+            comp, few = after, few * 4
+
+    comp = connected(near, settle(components(near.limit(0)), "components"))
+    few = 1
+    while True:
         mine = groups.select("key", "node").join(comp, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        split = mine.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low <> high")
+        split = settle(mine.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", "m"), "split")
         chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-        dealt = mine.join(split.select("key", "m"), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+        open_ = mine.join(_small(split), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
         # with n chunks, a member meets its own and each other one
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("c0", F.least("chunk", "other")).withColumn("c1", F.greatest("chunk", "other"))
+        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("c0", F.least("chunk", "other")).withColumn("c1", F.greatest("chunk", "other"))
+        bad = [t.where("not ok").select("a", "b") for t in tested] or [near.limit(0)]
+        bad = [x for t in bad for x in (t.select(F.col("a").alias("node"), F.col("b").alias("x")), t.select(F.col("b").alias("node"), F.col("a").alias("x")))]
+        failed = reduce(DataFrame.union, bad).groupBy("node").agg(F.collect_set("x").alias("failed"))
         run = ["key", "c0", "c1"]
-        rows = dealt.join(sketches, "node").select(*run, "chunk", "node", "c", "n", "sketch").repartition(*run).sortWithinPartitions(*run)
-        emitted = settle(rows.mapInArrow(_open_groups(percent, spanning), "a long, b long").distinct(), "near")
-        comp, tested = connected(emitted, tested, comp)
-        # a pair that joined components in its group by sketches alone stood for others there: if its texts differ, all of them meet
-        if emitted.join(tested.where("not ok"), ["a", "b"], "left_semi").isEmpty():
+        rows = open_.join(sketches, "node").join(failed, "node", "left").select(*run, "chunk", "node", "c", "n", "sketch", "failed").repartition(*run).sortWithinPartitions(*run)
+        pairs = settle(rows.mapInArrow(_open_groups(percent, few), "a long, b long").distinct(), "near")
+        release(split)
+        if pairs.isEmpty():
             break
+        comp = connected(pairs, comp)
+        release(pairs)
+        few *= 4
+
+    named = reps.join(comp, F.col("node") == F.col("id"), "left").select("node", "first", F.coalesce("component", "node").alias("c"))
+    least = named.groupBy("c").agg(F.min("first").alias("least"))
+    placed = settle(named.join(least, "c").select("node", "least"), "placed")
+    release(groups, hot, sketches, near, comp, reps, *tested)
+    out = full.join(placed, "node").select("doc_id", "mark", "n_shingles", F.col("least.doc_id").alias("component_id"), F.coalesce("least.doc_id", F.lit(0)).alias("first_key"), F.col("least.mark").alias("first_mark"))
+    none = F.lit(None).cast("long")
+    return out.union(sets.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), none.alias("first_key"), none.alias("first_mark")))
 
-    named = nodes.groupBy("node").agg(F.min("doc_id").alias("rep")).join(comp, F.col("node") == F.col("id"), "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
-    smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    placed = named.join(smallest, "c").select("node", "component_id")
-    out = nodes.join(placed, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for each row: the smallest id reachable by links of Jaccard similarity ``percent`` or more.
+
+    Links need not all be listed for that: within the group of one sketch
+    word, each member meets the group's first; then, in groups whose members
+    are in different components, pairs meet that would join these, until none
+    is left. Pairs that meet are first held against each other by bit sketches,
+    whose Hamming distance is no more than the symmetric difference, then
+    verified on their whole shingle sets; sketches, not texts, travel for all
+    but those. Equal sets are one node throughout, however many rows have
+    them; two 64-bit hashes say whether they are equal. A word that many sets
+    share is dealt out in parts, which meet through their first members.
+
+    Null or empty texts, or texts of white space, have no shingles and link
+    with nothing. Repeated rows are in one component. A null id stays null,
+    links what it is similar to, and is never the smallest while its component
+    has another. Empty tables give empty results; other columns do not matter.
+    """
+    return jaccard_rows(docs, k, percent, key, text).select("doc_id", "n_shingles", "component_id")

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import column, fresh, ship
 
 ship(__name__)
 
@@ -59,11 +59,13 @@ def place(docs: DataFrame, shards: list[str], slots: int = 65537, key: str = "do
     The table has ``slots`` entries at any input size; it is broadcast, and
     each row is placed by one probe without a shuffle. Null keys share one
     slot, equal keys (repeated rows) too. Empty input gives empty output.
-    Columns of ``docs`` that have one of the two new names are replaced.
+    Columns of ``docs`` that have one of the two new names are replaced; all
+    others stay, whatever their names.
     """
     spark = docs.sparkSession
     listed = ",".join(map(str, fill_table(shards, slots)))
-    lookup = spark.range(1).select(F.posexplode(F.split(F.lit(listed), ",")).alias("_slot", "_shard")).select("_slot", F.col("_shard").cast("int").alias("_shard"))
+    at, there, own = fresh(docs, "at", "there", "own")
+    lookup = spark.range(1).select(F.posexplode(F.split(F.lit(listed), ",")).alias(there, own)).select(there, F.col(own).cast("int").alias(own))
     kept = [c for c in docs.columns if c not in (slot, shard)]
-    placed = docs.withColumn("_at", slot_of(F.col(key), slots)).join(F.broadcast(lookup), F.col("_at") == F.col("_slot"))
-    return placed.select(*[F.col(f"`{c}`") for c in kept], F.col("_at").alias(slot), F.col("_shard").alias(shard))
+    placed = docs.select("*", slot_of(F.col(key), slots).alias(at)).join(F.broadcast(lookup), F.col(at) == F.col(there))
+    return placed.select(*[column(c) for c in kept], F.col(at).alias(slot), F.col(own).alias(shard))

@@ -100,10 +100,11 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndar
     return (np.concatenate(parts) if parts else runs[:0]), bounds
 
 
-def set_hash(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One hash for each row's set, 0 for an empty one."""
+def set_hash(tokens: np.ndarray, bounds: np.ndarray, seed: int = 0) -> np.ndarray:
+    """One hash for each row's set, 0 for an empty one; hashes of different seeds are independent."""
+    salt = mix(np.array([seed], np.uint64)) + _PLACE[60]
     sums = np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(mix(tokens ^ _PLACE[60]), out=sums[1:])
+    np.cumsum(mix(tokens ^ salt), out=sums[1:])
     size = np.diff(bounds).astype(np.uint64)
     out = mix((sums[bounds[1:]] - sums[bounds[:-1]]) + size * _PLACE[61])
     out[size == 0] = 0
