@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship
+from .common import release, settle, ship
 from .shingles import slices
 
 ship(__name__)
@@ -227,28 +227,32 @@ def perplexities(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     places = blocks.select("block", F.posexplode("ids").alias("at", "id"))
     good = places.join(trusted.select(F.col(key).alias("id")).distinct(), "id").groupBy("block").agg(F.collect_list("at").alias("trusted"))
     marked = blocks.join(good, "block", "left")
-    return settle(reduce(DataFrame.union, [_scores(blocks, marked, f, folds) for f in range(folds)]), "scores")
+    parts = [_scores(blocks, marked, f, folds) for f in range(folds)]
+    out = settle(reduce(DataFrame.union, [scores for scores, _ in parts]), "scores")
+    release(blocks, *[model for _, model in parts])
+    return out
 
 
 def fold_of(key: Column, folds: int) -> Column:
     return F.pmod(F.xxhash64(key.cast("long")), F.lit(folds)).cast("int")
 
 
-def _scores(blocks: DataFrame, marked: DataFrame, fold: int, folds: int) -> DataFrame:
-    """Scores of one fold's rows; all its trigrams are in the model, with the counts of the others (of all, where there is one fold)."""
+def _scores(blocks: DataFrame, marked: DataFrame, fold: int, folds: int) -> tuple[DataFrame, DataFrame]:
+    """Scores of one fold's rows, and the model that they are read from; all its trigrams are in the model, with the counts of the others (of all, where there is one fold)."""
     if folds > 1:
         blocks = blocks.where(F.col("fold") == fold)
         marked = marked.withColumn("trusted", F.when(F.col("fold") != fold, F.col("trusted"))).where(F.col("trusted").isNotNull() | (F.col("fold") == fold))
     counted = marked.select("sizes", "codes", "own", "times", "trusted").mapInArrow(_train, "code long, c long")
     grams = settle(counted.groupBy("code").agg(F.sum("c").alias("c")), "grams")
     probs = settle(model(grams), "model")
+    release(grams)
     shards = max(8, -(-probs.count() // SHARD))
     held = probs.groupBy(F.pmod("code", F.lit(shards)).cast("int").alias("shard")).agg(F.array_sort(F.collect_list(F.struct("code", "logp"))).alias("m")).select("shard", F.col("m.code").alias("codes"), F.col("m.logp").alias("logps"))
     asked = blocks.select("block", "codes").mapInArrow(_ask(shards), "block long, shard int, asked binary")
     replies = asked.join(held, "shard").mapInArrow(_reply, "block long, shard int, found binary")
     mine = replies.groupBy("block").agg(F.collect_list(F.struct("shard", "found")).alias("replies"))
     full = blocks.join(mine, "block", "left").select("ids", "langs", "marks", "tokens", "sizes", "codes", "own", "times", "replies")
-    return full.mapInArrow(_score(shards), "doc_id long, lang string, mark long, n_tokens long, logp double")
+    return full.mapInArrow(_score(shards), "doc_id long, lang string, mark long, n_tokens long, logp double"), probs
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, steady: int = 60, mark: Column | None = None) -> DataFrame:
@@ -282,6 +286,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, s
         return both.withColumn("perplexity", F.exp(-(F.col("logp") + steady * F.col("mean")) / (F.col("n_tokens") + steady)))
 
     measured = settle(with_perplexity(scored), "perplexity")
+    release(scored)
     best = measured.join(trusted, "doc_id", "left_semi")
     ranked = F.percentile_approx("perplexity", quantile, 100000)
     spread = F.exp(F.avg(F.log("perplexity")) + NormalDist().inv_cdf(quantile) * F.stddev_samp(F.log("perplexity")))
