@@ -15,7 +15,7 @@ from pyspark.sql.types import MapType
 #: White space of the word contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of 16 bytes that are broadcast at most; larger tables are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 #: Links from which on a round's minima are written, so that a hub's rows can be split between tasks.
 HUB_LINKS = 1_000_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

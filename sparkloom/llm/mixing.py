@@ -114,13 +114,17 @@ def _copies(rows: DataFrame, measured: Callable[[DataFrame], DataFrame], facts:
 
     ``measured`` adds size, emphasis, u and mark to rows with key and source.
     """
-    facts = F.broadcast(facts) if facts.count() <= BROADCAST_SOURCES else facts
-    near = rows.alias("d").join(facts.alias("f"), F.expr("d.source <=> f.source and d.key <=> f.cut.key"), "left_semi")
-    ranked, last = _ranked(measured(rows), facts, most), _ranked(measured(near), facts, most)
+    seen = facts.agg(F.count("*").alias("n"), F.max("cut_all").alias("most")).first()
+    facts = F.broadcast(facts) if seen["n"] <= BROADCAST_SOURCES else facts
     names = ["key", "source", "size", "source_size", "target", "copies", *carry]
-    at_end = F.coalesce(F.col("rank").isNotNull() & F.col("cut_all").isNotNull() & (_order() == F.col("cut")), F.lit(False))
-    ahead = F.col("rank").isNotNull() & (F.col("cut_all").isNull() | (_order() < F.col("cut")))
-    clear = ranked.where(~at_end).withColumn("copies", F.col("copies") + F.when(ahead, 1).otherwise(0)).select(*[column(n) for n in names])
+    ranked = _ranked(measured(rows), facts, most)
+    at_end = F.coalesce(F.col("rank").isNotNull() & (_order() == F.col("cut")), F.lit(False))
+    more = F.when(F.col("rank").isNull(), 0).when(F.col("cut_all").isNull() | (_order() < F.col("cut")), 1).when(_order() == F.col("cut"), F.col("cut_take")).otherwise(0)
+    if (seen["most"] or 1) == 1:  # one row at each end
+        return ranked.withColumn("copies", F.col("copies") + more).select(*[column(n) for n in names])
+    near = rows.alias("d").join(facts.alias("f"), F.expr("d.source <=> f.source and d.key <=> f.cut.key"), "left_semi")
+    last = _ranked(measured(near), facts, most)
+    clear = ranked.where(~at_end).withColumn("copies", F.col("copies") + more).select(*[column(n) for n in names])
     ends = last.where(at_end).groupBy(*[column(n) for n in names], "cut_all", "cut_take").agg(F.count("*").alias("rows"))
     each = F.explode(F.array(F.struct(F.lit(1).alias("more"), F.least("rows", "cut_take").alias("times")), F.struct(F.lit(0).alias("more"), (F.col("rows") - F.least("rows", "cut_take")).alias("times"))))
     dealt = ends.withColumn("each", each).where("each.times > 0").withColumn("copies", F.col("copies") + F.col("each.more")).withColumn("one", F.explode(F.sequence(F.lit(1), F.col("each.times"))))

@@ -182,14 +182,15 @@ def _open_groups(percent: int, few: int):
     def flush(run: list) -> pa.RecordBatch:
         out_a, out_b = [], []
         if len(run) > 1:
-            node, comp, size, chunk = (np.array([x[c] for x in run], np.int64) for c in ("node", "c", "n", "chunk"))
+            node, comp, size = (np.array([x[c] for x in run], np.int64) for c in ("node", "c", "n"))
             raw = [np.frombuffer(x["sketch"], np.uint64) for x in run]
             words = min(map(len, raw))
             bits = np.stack([fold(x, words) for x in raw])
-            across = chunk.min() != chunk.max()
+            side = np.array([x["side"] for x in run], np.int64)
+            across = side.min() != side.max()
             for r in range(len(run) - 1):
                 other = np.arange(r + 1, len(run))
-                other = other[(comp[other] != comp[r]) & ((chunk[other] != chunk[r]) | (not across))]
+                other = other[(comp[other] != comp[r]) & (side[other] != side[r])] if across else other[comp[other] != comp[r]]
                 if run[r]["failed"]:
                     other = other[~np.isin(node[other], run[r]["failed"])]
                 if not len(other):
@@ -206,14 +207,14 @@ def _open_groups(percent: int, few: int):
                 comp[np.isin(comp, met)] = comp[r]
                 out_a += [int(node[r])] * len(other)
                 out_b += node[other].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([run[0]["key"]] * len(out_a) if run else [], pa.int64()), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["key", "a", "b"])
 
     def work(batches):
         run: list = []
         now = None
         for batch in batches:
             for row in batch.to_pylist():
-                group = (row["key"], row["c0"], row["c1"])
+                group = (row["key"], row["kind"], row["c0"], row["c1"])
                 if group != now:
                     yield flush(run)
                     run, now = [], group
@@ -253,9 +254,9 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, most: int = BROADCAST_ROWS // 8) -> DataFrame:
     """A settled table of ids, broadcast where it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def jaccard_rows(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text", mark: Column | None = None) -> DataFrame:
@@ -300,7 +301,7 @@ def jaccard_rows(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
     def texts_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         asked = settle(nodes.join(reps, "node").select("node", F.coalesce("first.doc_id", F.lit(0)).alias("key"), F.col("first.mark").alias("mark")), "asked")
-        rows = plain.select(F.coalesce("doc_id", F.lit(0)).alias("key"), "mark", "text").join(_small(asked), ["key", "mark"]).select("node", "text")
+        rows = plain.select(F.coalesce("doc_id", F.lit(0)).alias("key"), "mark", "text").join(_small(asked, BROADCAST_ROWS), ["key", "mark"]).select("node", "text")
         out = settle(rows.dropDuplicates(["node"]), "texts")
         release(asked)
         return out
@@ -341,31 +342,42 @@ def jaccard_rows(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
             comp, few = after, few * 4
 
     comp = connected(near, settle(components(near.limit(0)), "components"))
+    # a group of two has met
+    rest = settle(groups.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key"), "rest")
     few = 1
     while True:
-        mine = groups.select("key", "node").join(comp, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        split = settle(mine.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", "m"), "split")
-        chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-        open_ = mine.join(_small(split), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
-        # with n chunks, a member meets its own and each other one
-        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("c0", F.least("chunk", "other")).withColumn("c1", F.greatest("chunk", "other"))
+        mine = groups.select("key", "node").join(rest, "key", "left_semi").join(comp, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        parts = mine.groupBy("key", "c").agg(F.count("*").alias("m"))
+        split = settle(parts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("many"), F.sum("m").alias("all"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds"), "split")
+        # members outside the largest component meet it and each other; chunk i of theirs meets chunk j of either
+        own = mine.join(_small(split), "key").withColumn("out", F.col("c") != F.col("main"))
+        chunks_in, chunks_out = F.ceil(F.col("many") / CHUNK), F.ceil((F.col("all") - F.col("many")) / CHUNK)
+        chunk = F.pmod(F.xxhash64("node"), F.when(F.col("out"), chunks_out).otherwise(chunks_in))
+        pairs_out = F.transform(F.sequence(F.lit(0), chunks_out - 1), lambda i: F.struct(F.lit("o").alias("kind"), F.least(i, F.col("chunk")).alias("c0"), F.greatest(i, F.col("chunk")).alias("c1"), F.col("chunk").alias("side")))
+        met_in = F.transform(F.sequence(F.lit(0), chunks_in - 1), lambda j: F.struct(F.lit("i").alias("kind"), F.col("chunk").alias("c0"), j.alias("c1"), F.lit(-1).cast("long").alias("side")))
+        met_out = F.transform(F.sequence(F.lit(0), chunks_out - 1), lambda i: F.struct(F.lit("i").alias("kind"), i.alias("c0"), F.col("chunk").alias("c1"), F.lit(-2).cast("long").alias("side")))
+        dealt = own.withColumn("chunk", chunk).withColumn("met", F.explode(F.when(F.col("out"), F.concat(pairs_out, met_in)).otherwise(met_out))).select("key", "node", "c", "met.*")
         bad = [t.where("not ok").select("a", "b") for t in tested] or [near.limit(0)]
-        bad = [x for t in bad for x in (t.select(F.col("a").alias("node"), F.col("b").alias("x")), t.select(F.col("b").alias("node"), F.col("a").alias("x")))]
-        failed = reduce(DataFrame.union, bad).groupBy("node").agg(F.collect_set("x").alias("failed"))
-        run = ["key", "c0", "c1"]
-        rows = open_.join(sketches, "node").join(failed, "node", "left").select(*run, "chunk", "node", "c", "n", "sketch", "failed").repartition(*run).sortWithinPartitions(*run)
-        pairs = settle(rows.mapInArrow(_open_groups(percent, few), "a long, b long").distinct(), "near")
-        release(split)
-        if pairs.isEmpty():
+        failed = [x for t in bad for x in (t.select(F.col("a").alias("node"), F.col("b").alias("x")), t.select(F.col("b").alias("node"), F.col("a").alias("x")))]
+        failed = reduce(DataFrame.union, failed).groupBy("node").agg(F.collect_set("x").alias("failed"))
+        run = ["key", "kind", "c0", "c1"]
+        rows = dealt.join(sketches, "node").join(failed, "node", "left").select(*run, "side", "node", "c", "n", "sketch", "failed").repartition(*run).sortWithinPartitions(*run)
+        found = settle(rows.mapInArrow(_open_groups(percent, few), "key long, a long, b long"), "found")
+        before = len(tested)
+        comp = connected(found.select("a", "b").distinct(), comp)
+        # a pair that stood for others in its group and failed: they meet in the next round
+        wrong = [t.where("not ok").select("a", "b") for t in tested[before:]]
+        again = settle((found.join(reduce(DataFrame.union, wrong), ["a", "b"], "left_semi") if wrong else found.limit(0)).select("key").distinct(), "rest")
+        release(split, found, rest)
+        rest = again
+        if rest.isEmpty():
             break
-        comp = connected(pairs, comp)
-        release(pairs)
         few *= 4
 
     named = reps.join(comp, F.col("node") == F.col("id"), "left").select("node", "first", F.coalesce("component", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("least"))
     placed = settle(named.join(least, "c").select("node", "least"), "placed")
-    release(groups, hot, sketches, near, comp, reps, *tested)
+    release(groups, hot, rest, sketches, near, comp, reps, *tested)
     out = full.join(placed, "node").select("doc_id", "mark", "n_shingles", F.col("least.doc_id").alias("component_id"), F.coalesce("least.doc_id", F.lit(0)).alias("first_key"), F.col("least.mark").alias("first_mark"))
     none = F.lit(None).cast("long")
     return out.union(sets.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), none.alias("first_key"), none.alias("first_mark")))
