@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -16,19 +17,36 @@ ship(__name__)
 
 #: Elements that end a line of text. Fixed values.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-#: Elements whose text is never content. Fixed values.
-NEVER = frozenset("head script style noscript template nav footer aside form button select textarea iframe object svg canvas menu dialog audio video title".split())
+#: Elements whose text a page does not show as text, and what a head may hold. Fixed values.
+HIDDEN = frozenset("head script style noscript template select textarea iframe object svg canvas audio video".split())
+HEAD = frozenset("title meta link base style script noscript template".split())
+#: Elements that hold no content. Fixed values.
+NEVER = frozenset("nav footer aside form button menu dialog".split())
 #: Elements without an end tag. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark what is not content. Fixed values.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share cookie cookies comment comments consent copyright disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+#: What an element's start ends, up to the element that holds both. Fixed values.
+ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tr td th thead tbody", "table"), "tfoot": ("tr td th thead tbody", "table")}
+#: Words in class, id or role that mark what is not content, and words that say nothing beside them. Fixed values.
+MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline cookie cookies comment comments consent copyright disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+PLAIN = frozenset("area bar block body bottom box button buttons center column container content form group inner item items left links list main module outer page panel post posts reader right row section site slot text thread top unit user wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_SPLIT = re.compile(r"[^a-z0-9]+")
+#: Least ratio of a line of an article or main part; what a character of a link counts for.
+LEAST, LINK = 0.3, 0.1
+_SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def marked(value: str) -> bool:
+    """Whether one of the names in a class or id says that an element is no content: all its words are marks or plain, and one is a mark."""
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        words = [w for w in _SPLIT.split(name) if w]
+        if any(w in MARKS for w in words) and all(w in MARKS or w in PLAIN for w in words):
+            return True
+    return False
+
+
 def is_noise(tag: str, attrs: list[tuple[str, str | None]], within: bool) -> bool:
-    """Whether an element holds no content; ``within``: inside an article or main part, where a plain header has the title."""
+    """Whether an element's text counts for nothing; ``within``: inside an article or main part, where a plain header has the title."""
     if tag in NEVER or tag == "header" and not within:
         return True
     if tag in ("html", "body", "main", "h1"):
@@ -38,92 +56,122 @@ def is_noise(tag: str, attrs: list[tuple[str, str | None]], within: bool) -> boo
             return True
         if name == "role" and value and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and value and any(w in MARKS for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())):
+        if name in ("class", "id") and value and marked(value):
             return True
     return False
 
 
 class Lines(HTMLParser):
-    """Lines of text of a page with their number of tags, and whether each lies in an article or main part."""
+    """Lines of text of a page: text, characters that count, tags, article or main part, and the run of sister blocks.
+
+    Text in links counts for little, text in elements that hold no content for
+    nothing. Memory grows with the page only.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, float, int, int, tuple[int, bool, int]]] = []
         self.text: list[str] = []
+        self.count = 0.0
         self.tags = 0
-        self.open: list[str] = []
-        self.skip = 0
-        self.main = 0
-        self.region = 0
+        self.where: tuple[int, bool, int] | None = None
+        #: Open elements: name, whether noise; and how many of each name are open.
+        self.open: list[tuple[str, bool]] = []
+        self.held: Counter[str] = Counter()
+        self.blocks: list[int] = [0]
+        self.seen = self.noise = self.hidden = self.main = self.region = 0
 
     def end_line(self):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
-        if text:
-            self.lines.append((text, self.tags, self.region if self.main else 0))
+        if text and self.where is not None:
+            self.lines.append((text, self.count, max(1, self.tags), self.where[2], self.where))
         if text or self.text:
             self.tags = 0
-        self.text = []
+        self.text, self.count, self.where = [], 0.0, None
 
     def handle_starttag(self, tag, attrs):
-        if self.skip:
-            if tag not in VOID:
-                self.open.append(tag)
-            return
+        if self.held["head"] and tag not in HEAD and tag != "head":
+            self._close("head")
+        if tag in ENDS:
+            self._imply(*ENDS[tag])
+        elif tag in BLOCKS and self.held["p"]:
+            self._imply("p", "table td th li button object")
         if tag in BLOCKS:
             self.end_line()
         if tag == "br":
             self.text.append(" ")
+        self.tags += 1
         if tag in VOID:
-            self.tags += 1
             return
-        if tag == "p" and "p" in self.open:
-            self._close("p")
-        if is_noise(tag, attrs, bool(self.main)):
+        noise = is_noise(tag, attrs, bool(self.main))
+        if noise:
             self.end_line()
-            self.skip = len(self.open) + 1
-        elif tag in ("article", "main"):
+            self.noise += 1
+        if tag in HIDDEN:
+            self.hidden += 1
+        if tag in ("article", "main"):
             if not self.main:
                 self.region += 1
             self.main += 1
-        self.open.append(tag)
-        self.tags += 1
+        if tag in BLOCKS:
+            self.seen += 1
+            self.blocks.append(self.seen)
+        self.open.append((tag, noise))
+        self.held[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
-            if self.open and self.open[-1] == tag and tag not in ("script", "style"):
-                self.handle_endtag(tag)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and self.open and self.open[-1][0] == tag and tag not in ("script", "style"):
+            self.handle_endtag(tag)
+
+    def _pop(self):
+        tag, noise = self.open.pop()
+        self.held[tag] -= 1
+        if noise or tag in BLOCKS:
+            self.end_line()
+        self.noise -= noise
+        self.hidden -= tag in HIDDEN
+        self.main -= tag in ("article", "main")
+        if tag in BLOCKS:
+            self.blocks.pop()
 
     def _close(self, tag: str):
         # an end tag ends what is open inside it; one without a start ends nothing
-        if tag not in self.open:
-            return
-        while self.open:
-            last = self.open.pop()
-            if last in ("article", "main") and not self.skip:
-                self.main -= 1
-            if self.skip and len(self.open) < self.skip:
-                self.skip = 0
+        while self.held[tag]:
+            last = self.open[-1][0]
+            self._pop()
             if last == tag:
                 break
 
-    def handle_endtag(self, tag):
-        if self.skip:
-            # an inner end tag does not reach out of what is skipped, unless it ends a part around it
-            inside = self.open[self.skip - 1 :]
-            if tag in inside or tag in ("article", "main", "body", "html") and tag in self.open:
-                self._close(tag)
+    def _imply(self, names: str, until: str):
+        wanted, stop = names.split(), until.split()
+        if not any(self.held[w] for w in wanted):
             return
-        if tag in BLOCKS:
+        at = len(self.open) - 1
+        last = None
+        while at >= 0 and self.open[at][0] not in stop:
+            if self.open[at][0] in wanted:
+                last = at
+                if len(wanted) == 1:
+                    break
+            at -= 1
+        while last is not None and len(self.open) > last:
+            self._pop()
+
+    def handle_endtag(self, tag):
+        if tag in BLOCKS and self.held[tag]:
             self.end_line()
         self.tags += 1
         self._close(tag)
 
     def handle_data(self, data):
-        if not self.skip:
-            self.text.append(data)
+        if self.hidden:
+            return
+        if self.where is None and not data.isspace():
+            self.where = (self.blocks[-2] if len(self.blocks) > 1 else 0, bool(self.noise), self.region if self.main else 0)
+        self.text.append(data)
+        if not self.noise:
+            self.count += len(data.strip()) * (LINK if self.held["a"] else 1)
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -134,15 +182,28 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), "valid")
 
 
+def levels(lines: list, sigma: float) -> np.ndarray:
+    """Logarithms of text-to-tag ratios, smoothed in each run of sister blocks."""
+    ratios = np.log1p(np.array([count / tags for _, count, tags, _, _ in lines], np.float64))
+    out = np.empty(len(lines))
+    start = 0
+    for end in range(1, len(lines) + 1):
+        if end == len(lines) or lines[end][4] != lines[start][4]:
+            out[start:end] = smoothed(ratios[start:end], sigma) if end - start > 1 else ratios[start:end]
+            start = end
+    return out
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The page's content: blocks in page order, two line ends between them; empty if there is none.
 
-    Lines in elements that cannot be content are left out by the parser
-    events. Of the others, the logarithms of text-to-tag ratios are smoothed
-    and split by a threshold, their standard deviation at most: one long line
-    does not move it much. Each run of lines in or outside an article or main
-    part that has a line above it is content, from the first to the last such
-    line, with the headline just before and what else the part itself holds.
+    Each line has a ratio of counted characters to tags. Logarithms of ratios
+    are smoothed along sister blocks and split by a threshold: the deviation of
+    all levels, so that one long line does not move it much. In an article or
+    main part, a line needs LEAST only: text without links does. Elsewhere each
+    run of lines that has one above the threshold is content from the first to
+    the last such line, with the headline just before. Text in menus, adverts
+    and the like counts for nothing and stays at the bottom.
     """
     if not html:
         return ""
@@ -153,18 +214,20 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = page.lines
     if not lines:
         return ""
-    ratios = np.log1p(np.array([len(t) / max(1, n) for t, n, _ in lines], np.float64))
-    level = smoothed(ratios, sigma)
-    high = level >= min(level.std(), level.max())
-    region = np.array([r for _, _, r in lines])
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(region)) + 1, [len(lines)]))
-    kept = []
+    level = levels(lines, sigma)
+    least = np.log1p(LEAST)
+    bar = max(least, min(level.std(), level.max()))
+    region = np.array([r for _, _, _, r, _ in lines])
+    silent = np.array([w[1] for *_, w in lines])
+    keep = (region > 0) & (level >= least)
+    group = np.where(silent, -1, region)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(lines)]))
     for start, end in zip(cuts[:-1], cuts[1:]):
-        at = np.flatnonzero(high[start:end])
-        if len(at):
-            own = lines[start:end] if region[start] else lines[start + max(0, at[0] - 1) : start + at[-1] + 1]
-            kept += [t for t, _, _ in own]
-    return "\n\n".join(kept)
+        if group[start] == 0:
+            at = np.flatnonzero(level[start:end] >= bar)
+            if len(at):
+                keep[start + max(0, at[0] - 1) : start + at[-1] + 1] = True
+    return "\n\n".join(lines[k][0] for k in np.flatnonzero(keep))
 
 
 def _extract(batches):
