@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..session import table as t
 from .registry import query
-from .retrieval import BM25, GOLD, LEXICAL, bm25_ranked, gold_lists
+from .retrieval import BM25, GOLD, LEXICAL, bm25_ranked, corpus_of, gold_lists
 from .texts import LINES
 
 TOP = f"{LEXICAL}, {BM25.format(n='a', k1=1.5, b=0.75, k=20)}"
@@ -74,16 +74,18 @@ def _(spark, sf):
 r as (select g.qid, min(a.rank) as rank from g left join a_r a on a.qid = g.qid and a.id = g.id group by 1)
 select count(*)::bigint as n, count_if(rank <= 1)::bigint as hit1, count_if(rank <= 3)::bigint as hit3, count_if(rank <= 5)::bigint as hit5, round(avg(coalesce(1.0::double / rank, 0)), 6) as mrr from r""")
 def _(spark, sf):
-    g = gold_lists(spark, sf).select("qid", F.explode("gold").alias("id"))
-    r = g.join(bm25_ranked(spark, sf, 20).select("qid", "id", "rank"), ["qid", "id"], "left").groupBy("qid").agg(F.min("rank").alias("rank"))
+    corpus = corpus_of(spark, sf)
+    g = gold_lists(spark, sf, corpus).select("qid", F.explode("gold").alias("id"))
+    r = g.join(bm25_ranked(spark, sf, 20, corpus=corpus).select("qid", "id", "rank"), ["qid", "id"], "left").groupBy("qid").agg(F.min("rank").alias("rank"))
     return r.agg(F.count("*").alias("n"), *[F.count_if(F.col("rank") <= k).alias(f"hit{k}") for k in (1, 3, 5)], F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
 @query("agg11_gold_ranks_map", f"""with {TOP}, {GOLD}, g as (select qid, unnest(gold) as id from gold)
 select g.qid, string_agg(g.id || ':' || coalesce(a.rank::varchar, '-'), ',' order by g.id) as ranks from g left join a_r a on a.qid = g.qid and a.id = g.id group by 1""")
 def _(spark, sf):
-    g = gold_lists(spark, sf).select("qid", F.explode("gold").alias("id"))
-    rows = g.join(bm25_ranked(spark, sf, 20).select("qid", "id", "rank"), ["qid", "id"], "left")
+    corpus = corpus_of(spark, sf)
+    g = gold_lists(spark, sf, corpus).select("qid", F.explode("gold").alias("id"))
+    rows = g.join(bm25_ranked(spark, sf, 20, corpus=corpus).select("qid", "id", "rank"), ["qid", "id"], "left")
     one = F.concat(F.col("id").cast("string"), F.lit(":"), F.coalesce(F.col("rank").cast("string"), F.lit("-")))
     listed = F.array_sort(F.collect_list(F.struct("id", one.alias("one"))))
     return rows.groupBy("qid").agg(F.array_join(F.transform(listed, lambda s: s["one"]), ",").alias("ranks"))
@@ -93,8 +95,9 @@ def _(spark, sf):
 select g.qid, len(list_intersect(g.gold, coalesce(r.got, [])))::bigint as hits, list_sort(list_filter(g.gold, lambda x: not list_contains(coalesce(r.got, []), x))) as missing,
 case when len(list_intersect(g.gold, coalesce(r.got, []))) = 0 then 'zero' when len(list_intersect(g.gold, coalesce(r.got, []))) = len(g.gold) then 'complete' else 'partial' end as shape from gold g left join r using (qid)""")
 def _(spark, sf):
-    got = bm25_ranked(spark, sf, 20).where("rank <= 5").groupBy("qid").agg(F.collect_set("id").alias("got"))
-    rows = gold_lists(spark, sf).join(got, "qid", "left").withColumn("got", F.coalesce("got", F.array().cast("array<bigint>")))
+    corpus = corpus_of(spark, sf)
+    got = bm25_ranked(spark, sf, 20, corpus=corpus).where("rank <= 5").groupBy("qid").agg(F.collect_set("id").alias("got"))
+    rows = gold_lists(spark, sf, corpus).join(got, "qid", "left").withColumn("got", F.coalesce("got", F.array().cast("array<bigint>")))
     hits = F.size(F.array_intersect("gold", "got"))
     shape = F.when(hits == 0, "zero").when(hits == F.size("gold"), "complete").otherwise("partial")
     return rows.select("qid", hits.cast("long").alias("hits"), F.array_sort(F.array_except("gold", "got")).alias("missing"), shape.alias("shape"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,28 +51,34 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, query terms and document sizes; the tokeniser runs once for each plan that uses them."""
-    docs = _docs(spark, sf_dir)
-    queries = lexical.query_terms(table(spark, sf_dir, "benchmark"))
-    sizes = docs.select(F.col("doc_id").alias("id"), "lang", F.size(tx.tokenize(F.col("text"))).alias("dl"))
-    return lexical.postings(docs), queries, sizes
+def corpus_of(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> lexical.Corpus:
+    return lexical.index(_docs(spark, sf_dir), carry=carry)
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.query_terms(table(spark, sf_dir, "benchmark"))
 
 
-def bm25_ranked(spark: SparkSession, sf_dir: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    return lexical.bm25_top(_docs(spark, sf_dir), lexical.query_terms(table(spark, sf_dir, "benchmark")), k, k1, b)
+def bm25_ranked(spark: SparkSession, sf_dir: str, k: int = 10, k1: float = 1.5, b: float = 0.75, corpus: lexical.Corpus | None = None) -> DataFrame:
+    return lexical.bm25_top(corpus or corpus_of(spark, sf_dir), asked(spark, sf_dir), k, k1, b)
 
 
-def tfidf_ranked(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    posts, queries, sizes = _parts(spark, sf_dir)
-    return lexical.top_k(lexical.tfidf(posts, queries, sizes), k)
+def bm25_pair(spark: SparkSession, sf_dir: str, k: int = 20, other: int = 20, corpus: lexical.Corpus | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rankings with b 0.75 and 0.25, from one coded corpus."""
+    corpus = corpus or corpus_of(spark, sf_dir)
+    return bm25_ranked(spark, sf_dir, k, corpus=corpus), bm25_ranked(spark, sf_dir, other, b=0.25, corpus=corpus)
 
 
-def gold_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+def both_ranked(spark: SparkSession, sf_dir: str, b: float) -> tuple[DataFrame, DataFrame]:
+    """BM25 and TF-IDF rankings, from one coded corpus."""
+    corpus = corpus_of(spark, sf_dir)
+    return bm25_ranked(spark, sf_dir, 20, b=b, corpus=corpus), lexical.tfidf_top(corpus, asked(spark, sf_dir), 20)
+
+
+def gold_lists(spark: SparkSession, sf_dir: str, corpus: lexical.Corpus | None = None) -> DataFrame:
     """``(qid, gold)``: documents that contain a benchmark text. The benchmark is asked of all documents as a stated query set."""
-    docs, items = _docs(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    found = docs.select("doc_id", "text").join(F.broadcast(items.select("item_id", F.col("text").alias("needle"))), F.expr("contains(text, needle)"))
-    return found.groupBy(F.col("item_id").alias("qid")).agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
+    found = lexical.containing(corpus or corpus_of(spark, sf_dir), _docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.groupBy(F.col("item_id").alias("qid")).agg(F.array_sort(F.collect_list("id")).alias("gold"))
 
 
 @query("txt01_tokenize", f"select doc_id, len(toks)::bigint as n_tokens, len(list_distinct(toks))::bigint as n_terms, toks[1] as first_token, toks[-1] as last_token from (select doc_id, {TOKENS.format(t='text')} as toks from documents)")
@@ -81,9 +89,10 @@ def _(spark, sf_dir):
 
 @query("txt02_bm25_statistics", f"with {LEXICAL} select term, count(*)::bigint as df, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from posts cross join (select count(*) as n from sizes) group by term, n")
 def _(spark, sf_dir):
-    posts, _, sizes = _parts(spark, sf_dir)
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes.agg(F.count("*").alias("n"))))
-    return df.select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    docs = _docs(spark, sf_dir)
+    n = docs.count()
+    df = docs.select(F.explode(F.array_distinct(tx.tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.select("term", "df", F.round(F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
 @query("txt03_bm25_search", f"with {LEXICAL}, {BM25.format(n='s', k1=1.5, b=0.75, k=10)} select qid, id, score, rank from s_r")
@@ -93,7 +102,7 @@ def bm25_search(spark, sf_dir):
 
 @query("txt04_txt05_tfidf_search", f"with {LEXICAL}, {TFIDF} select qid, id, score, rank from tfidf_r")
 def _(spark, sf_dir):
-    return tfidf_ranked(spark, sf_dir).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return lexical.tfidf_top(corpus_of(spark, sf_dir), asked(spark, sf_dir), 20).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 DENSE = """
@@ -132,7 +141,7 @@ def _(spark, sf_dir):
 f as (select qid, id, round(sum(part), 9) as score from (select qid, id, 1.0::double / (5 + rank) as part from s_r union all select qid, id, 1.0::double / (5 + rank) from tfidf_r) group by all)
 select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from f) where rank <= 10""")
 def _(spark, sf_dir):
-    fused = fusion.reciprocal_rank_fusion([(bm25_ranked(spark, sf_dir, 20, b=0.25), 1.0), (tfidf_ranked(spark, sf_dir, 20), 1.0)], 10)
+    fused = fusion.reciprocal_rank_fusion([(ranked, 1.0) for ranked in both_ranked(spark, sf_dir, 0.25)], 10)
     return fused.select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -140,14 +149,14 @@ def _(spark, sf_dir):
 f as (select qid, id, round(sum(part), 9) as score from (select qid, id, 1.0::double / (5 + rank) as part from s_r union all select qid, id, 2.0::double / (5 + rank) from tfidf_r) group by all)
 select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from f) where rank <= 5""")
 def _(spark, sf_dir):
-    fused = fusion.reciprocal_rank_fusion([(bm25_ranked(spark, sf_dir, 20), 1.0), (tfidf_ranked(spark, sf_dir, 20), 2.0)], 5)
+    fused = fusion.reciprocal_rank_fusion(list(zip(both_ranked(spark, sf_dir, 0.75), (1.0, 2.0))), 5)
     return fused.select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("rnk05_fused_union", f"""with {LEXICAL}, {BM25.format(n='s', k1=1.5, b=0.25, k=20)}, {TFIDF}
 select qid, id, round(sum(part), 9) as score, count(*)::bigint as members from (select qid, id, 1.0::double / (5 + rank) as part from s_r union all select qid, id, 1.0::double / (5 + rank) from tfidf_r) group by qid, id""")
 def _(spark, sf_dir):
-    parts = [m.select("qid", "id", (F.lit(1.0) / (5 + F.col("rank"))).alias("part")) for m in (bm25_ranked(spark, sf_dir, 20, b=0.25), tfidf_ranked(spark, sf_dir, 20))]
+    parts = [m.select("qid", "id", (F.lit(1.0) / (5 + F.col("rank"))).alias("part")) for m in both_ranked(spark, sf_dir, 0.25)]
     return parts[0].unionByName(parts[1]).groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("score"), F.count("*").alias("members"))
 
 
@@ -177,14 +186,11 @@ s as (select qid, id, lang, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5))
 p as (select * from s qualify row_number() over (partition by qid, lang order by score desc, id) <= 5)
 select qid, id, lang, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from p) where rank <= 5""")
 def _(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    posts, queries, sizes = _parts(spark, sf_dir)
-    tokens = docs.select(F.col("doc_id").alias("id"), "lang", tx.tokenize(F.col("text")).alias("tokens"))
-    posts = tokens.select("id", "lang", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "lang", "dl", "term").agg(F.count("*").alias("tf"))
-    scored = lexical.bm25(posts, queries, sizes, group="lang")
-    order = Window.partitionBy("qid", "lang").orderBy(F.col("score").desc(), "id")
-    own = scored.withColumn("r", F.row_number().over(order)).where("r <= 5").drop("r")
-    return lexical.top_k(own, 5).select("qid", "id", "lang", "score", F.col("rank").cast("long").alias("rank"))
+    corpus, queries = corpus_of(spark, sf_dir, ("lang",)), asked(spark, sf_dir)
+    # each partition has statistics of its own; partitions are few, as a parameter of the search
+    langs = [r["lang"] for r in corpus.rows.select("lang").distinct().collect()]
+    own = [lexical.bm25_top(corpus.where(F.col("lang").eqNullSafe(lang)), queries, 5).withColumn("lang", F.lit(lang)) for lang in langs]
+    return lexical.top_k(reduce(DataFrame.union, own).drop("rank"), 5).select("qid", "id", "lang", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("rnk13_stable_partition", f"""with {LEXICAL}, {BM25.format(n='s', k1=1.5, b=0.75, k=20)}
@@ -216,7 +222,7 @@ def _(spark, sf_dir):
 m as (select qid, id, max(score) as score from (select qid, id, score from a_r union all select qid, id, score from c_r) group by all)
 select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from m) where rank <= 10""")
 def _(spark, sf_dir):
-    out = fusion.union_max(bm25_ranked(spark, sf_dir, 20), bm25_ranked(spark, sf_dir, 20, b=0.25), 10)
+    out = fusion.union_max(*bm25_pair(spark, sf_dir), 10)
     return out.select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -224,7 +230,7 @@ def _(spark, sf_dir):
 m as (select qid, id, min((tier, rank)) as p from (select qid, id, 0 as tier, rank from a_r union all select qid, id, 1, rank from c_r) group by all)
 select qid, id, p[1]::bigint as tier, place from (select *, row_number() over (partition by qid order by p, id) as place from m) where place <= 8""")
 def _(spark, sf_dir):
-    out = fusion.fill_to_budget(bm25_ranked(spark, sf_dir, 3), bm25_ranked(spark, sf_dir, 20, b=0.25), 8)
+    out = fusion.fill_to_budget(*bm25_pair(spark, sf_dir, 3), 8)
     return out.select("qid", "id", F.col("tier").cast("long").alias("tier"), F.col("place").cast("long").alias("place"))
 
 
@@ -242,10 +248,11 @@ def _(spark, sf_dir):
     return hits.select("qid", F.col("rank").cast("long").alias("rank"), "id", F.concat_ws(" ", "source", "lang").alias("citation"), "excerpt", F.round("score", 4).alias("score"))
 
 
-def _run(spark, sf_dir, k: int = 5, b: float = 0.75) -> DataFrame:
+def _run(spark, sf_dir, k: int = 5, b: float = 0.75, corpus: lexical.Corpus | None = None) -> DataFrame:
     """One row a question: retrieved, gold (empty where it has none)."""
-    gold = gold_lists(spark, sf_dir)
-    lists = metrics.ranked_lists(bm25_ranked(spark, sf_dir, k, b=b))
+    corpus = corpus or corpus_of(spark, sf_dir)
+    gold = gold_lists(spark, sf_dir, corpus)
+    lists = metrics.ranked_lists(bm25_ranked(spark, sf_dir, k, b=b, corpus=corpus))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
     none = F.array().cast("array<bigint>")
     return items.join(lists, "qid", "left").join(gold, "qid", "left").select("qid", F.coalesce("retrieved", none).alias("retrieved"), F.coalesce("gold", none).alias("gold"))
@@ -304,7 +311,8 @@ PAIRED = f"{LEXICAL}, {BM25.format(n='a', k1=1.5, b=0.75, k=3)}, {BM25.format(n=
 
 
 def _paired(spark, sf_dir):
-    a, c = _run(spark, sf_dir, 3), _run(spark, sf_dir, 3, b=0.25)
+    corpus = corpus_of(spark, sf_dir)
+    a, c = _run(spark, sf_dir, 3, corpus=corpus), _run(spark, sf_dir, 3, b=0.25, corpus=corpus)
     return a.withColumnRenamed("retrieved", "before").join(c.select("qid", F.col("retrieved").alias("after")), "qid")
 
 
@@ -322,8 +330,9 @@ def _(spark, sf_dir):
 select coalesce(a.qid, c.qid) as qid, coalesce(a.id, c.id) as id, a.rank as before, c.rank as after,
 case when a.id is null then 'entered' when c.id is null then 'left' when a.rank <> c.rank then 'moved' else 'same' end as state from a_r a full join c_r c on a.qid = c.qid and a.id = c.id""")
 def _(spark, sf_dir):
-    a = bm25_ranked(spark, sf_dir, 5).select("qid", "id", F.col("rank").cast("long").alias("before"))
-    c = bm25_ranked(spark, sf_dir, 5, b=0.25).select("qid", "id", F.col("rank").cast("long").alias("after"))
+    a, c = bm25_pair(spark, sf_dir, 5, 5)
+    a = a.select("qid", "id", F.col("rank").cast("long").alias("before"))
+    c = c.select("qid", "id", F.col("rank").cast("long").alias("after"))
     state = F.when(F.col("before").isNull(), "entered").when(F.col("after").isNull(), "left").when(F.col("before") != F.col("after"), "moved").otherwise("same")
     return a.join(c, ["qid", "id"], "full").select("qid", "id", "before", "after", state.alias("state"))
 

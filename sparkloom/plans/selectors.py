@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import lexical, selection
+from ..operators.shared import shared_folder
 from ..session import table as t
 from ..sources import jsonl
 from .registry import query
-from .retrieval import BM25, GOLD, LEXICAL, bm25_ranked, gold_lists
+from .retrieval import BM25, GOLD, LEXICAL, asked, bm25_pair, bm25_ranked, corpus_of, gold_lists
 
 TOP = f"{LEXICAL}, {BM25.format(n='a', k1=1.5, b=0.75, k=20)}, {BM25.format(n='c', k1=1.5, b=0.25, k=20)}"
 
@@ -25,7 +27,7 @@ def _facts(spark, sf):
 g as (select *, ((case when r is not null then coalesce(s, 1000000) + 5 else 0 end + case when s is not null then (coalesce(r, 1000000) + 5) * 2 else 0 end)::double / ((coalesce(r, 1000000) + 5) * (coalesce(s, 1000000) + 5))::double) as score from f)
 select qid, id, place from (select *, row_number() over (partition by qid order by round(score, 12) desc, coalesce(r, 1000000), id) as place from g) where place <= 5""")
 def _(spark, sf):
-    out = selection.exact_fusion(bm25_ranked(spark, sf, 20), bm25_ranked(spark, sf, 20, b=0.25), 2, 5, 5)
+    out = selection.exact_fusion(*bm25_pair(spark, sf), 2, 5, 5)
     return out.select("qid", "id", F.col("place").cast("long").alias("place"))
 
 
@@ -39,7 +41,7 @@ def _(spark, sf):
 o as (select c.qid, c.id, row_number() over (partition by c.qid order by c.rank, c.id) as r from c_r c where not exists (select 1 from seed s where s.qid = c.qid and s.id = c.id))
 select qid, id, place from seed union all select qid, id, 3 from o where r = 1""")
 def _(spark, sf):
-    return selection.replace_third(bm25_ranked(spark, sf, 20), bm25_ranked(spark, sf, 20, b=0.25))
+    return selection.replace_third(*bm25_pair(spark, sf))
 
 
 @query("rnk15_rnk16_linked_pair", f"""with {TOP}, h as (select a_r.*, d.source from a_r join documents d on d.doc_id = id where rank <= 10),
@@ -95,9 +97,11 @@ def _(spark, sf):
 select g.qid, g.id, case when a.rank <= 3 then 'found' when a.rank is not null then 'selection' when c.rank is not null then 'fusion' else 'candidates' end as stage, a.rank as rank_a, c.rank as rank_c
 from g left join a_r a on a.qid = g.qid and a.id = g.id left join c_r c on c.qid = g.qid and c.id = g.id""")
 def _(spark, sf):
-    g = gold_lists(spark, sf).select("qid", F.explode("gold").alias("id"))
-    a = bm25_ranked(spark, sf, 20).select("qid", "id", F.col("rank").cast("long").alias("rank_a"))
-    c = bm25_ranked(spark, sf, 20, b=0.25).select("qid", "id", F.col("rank").cast("long").alias("rank_c"))
+    corpus = corpus_of(spark, sf)
+    g = gold_lists(spark, sf, corpus).select("qid", F.explode("gold").alias("id"))
+    a, c = bm25_pair(spark, sf, corpus=corpus)
+    a = a.select("qid", "id", F.col("rank").cast("long").alias("rank_a"))
+    c = c.select("qid", "id", F.col("rank").cast("long").alias("rank_c"))
     stage = F.when(F.col("rank_a") <= 3, "found").when(F.col("rank_a").isNotNull(), "selection").when(F.col("rank_c").isNotNull(), "fusion").otherwise("candidates")
     return g.join(a, ["qid", "id"], "left").join(c, ["qid", "id"], "left").select("qid", "id", stage.alias("stage"), "rank_a", "rank_c")
 
@@ -106,9 +110,11 @@ def _(spark, sf):
 h as (select g.qid, k, bool_or(coalesce(a.rank <= k, false)) as x, bool_or(coalesce(c.rank <= k, false)) as y from g cross join (values (3), (5)) v(k) left join a_r a on a.qid = g.qid and a.id = g.id left join c_r c on c.qid = g.qid and c.id = g.id group by all)
 select k, count(*)::bigint as n, coalesce(list(qid order by qid) filter (y and not x), []) as fixed, coalesce(list(qid order by qid) filter (x and not y), []) as broken from h group by k""")
 def _(spark, sf):
-    g = gold_lists(spark, sf).select("qid", F.explode("gold").alias("id"))
-    a = bm25_ranked(spark, sf, 20).select("qid", "id", F.col("rank").alias("ra"))
-    c = bm25_ranked(spark, sf, 20, b=0.25).select("qid", "id", F.col("rank").alias("rc"))
+    corpus = corpus_of(spark, sf)
+    g = gold_lists(spark, sf, corpus).select("qid", F.explode("gold").alias("id"))
+    a, c = bm25_pair(spark, sf, corpus=corpus)
+    a = a.select("qid", "id", F.col("rank").alias("ra"))
+    c = c.select("qid", "id", F.col("rank").alias("rc"))
     rows = g.join(a, ["qid", "id"], "left").join(c, ["qid", "id"], "left").withColumn("k", F.explode(F.array(F.lit(3), F.lit(5))))
     hit = lambda r: F.bool_or(F.coalesce(F.col(r) <= F.col("k"), F.lit(False)))
     h = rows.groupBy("qid", "k").agg(hit("ra").alias("x"), hit("rc").alias("y"))
@@ -122,20 +128,13 @@ s as (select cid, qid, id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) *
 r as (select * from (select *, row_number() over (partition by cid, qid order by score desc, id) as rank from s) where rank <= 5)
 select c.cid::bigint as cid, count(distinct r.qid)::bigint as hit from cfg c left join (select r.* from r join (select qid, unnest(gold) as id from gold) g on g.qid = r.qid and g.id = r.id) r on r.cid = c.cid group by 1""")
 def _(spark, sf):
-    """A whole parameter grid in one job: the grid is a table, joined to the terms that hit."""
-    docs = t(spark, sf, "documents")
-    posts, asks = lexical.postings(docs), lexical.query_terms(t(spark, sf, "benchmark"))
-    stats = docs.select(F.size(lexical.tokenize(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
-    grid = spark.createDataFrame([(1, 1.5, 0.75), (2, 1.5, 0.25), (3, 1.2, 0.5)], "cid long, k1 double, b double")
-    mine = posts.join(asks.select("term").distinct(), "term", "left_semi")
-    df = mine.groupBy("term").agg(F.count("*").alias("df"))
-    hits = mine.join(df, "term").join(asks, "term").crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(grid))
-    part = F.expr("qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avg_dl))")
-    scored = hits.groupBy("cid", "qid", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    order = Window.partitionBy("cid", "qid").orderBy(F.desc("score"), "id")
-    top = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
-    good = top.join(gold_lists(spark, sf).select("qid", F.explode("gold").alias("id")), ["qid", "id"])
-    return grid.select("cid").join(good.groupBy("cid").agg(F.count_distinct("qid").alias("hit")), "cid", "left").select("cid", F.coalesce("hit", F.lit(0)).alias("hit"))
+    """A whole parameter grid over one coded corpus: each setting is a scan of numbers."""
+    corpus, queries = corpus_of(spark, sf), asked(spark, sf)
+    grid = [(1, 1.5, 0.75), (2, 1.5, 0.25), (3, 1.2, 0.5)]
+    top = reduce(DataFrame.union, [lexical.bm25_top(corpus, queries, 5, k1, b).withColumn("cid", F.lit(cid).cast("long")) for cid, k1, b in grid])
+    good = top.join(gold_lists(spark, sf, corpus).select("qid", F.explode("gold").alias("id")), ["qid", "id"])
+    cells = spark.createDataFrame([(cid,) for cid, _, _ in grid], "cid long")
+    return cells.join(good.groupBy("cid").agg(F.count_distinct("qid").alias("hit")), "cid", "left").select("cid", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
 @query("txt32_prompt_context", f"""with {TOP} select qid, string_agg('[' || rank || '] ' || d.source || ': ' || substr(d.text, 1, 40), chr(10) order by rank) as context from a_r join documents d on d.doc_id = id where rank <= 3 group by qid""")
@@ -205,9 +204,7 @@ CHUNK = "doc_id long, source string, text string"
 @query("src01_src05_snk01_json_round_trip", "select doc_id, source, md5(text) as h, (case when lang = 'en' then 0 else 1 end) as input from documents where lang in ('en', 'fr')")
 def _(spark, sf):
     """Two exports as JSON Lines in the shared folder, scanned and merged again."""
-    import tempfile
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-")).rstrip("/")
+    folder = shared_folder(spark)
     docs = t(spark, sf, "documents")
     paths = []
     for lang in ("en", "fr"):
