@@ -18,7 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 #: Links from which on a round's minima are written, so that a hub's rows can be split between tasks.
 HUB_LINKS = 1_000_000
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go with the plan, and Arrow batches stay small in the workers.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -47,19 +48,22 @@ def shared_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame, name: str = "t", tasks: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later plans start from files that outlive executors.
 
-    The shuffle files of the written plan go with its execution. ``tasks``: at
+    The shuffle files of the written plan go with its execution, and its Arrow
+    batches are of 16 MB at most. ``tasks``: at
     most so many tasks make its last step, for tables known to be small.
     """
     if tasks:
         df = df.coalesce(tasks)
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
