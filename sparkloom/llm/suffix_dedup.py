@@ -8,7 +8,7 @@ for ``length - v + 1`` bytes. Those cover samples (one byte in five) are
 ranked first; a suffix can only tie for long if one of the v positions from it
 on holds a sample whose rank another sample shares. All others are settled by
 that alone. The rest are sorted to their first ``length`` bytes one bucket at a
-time; a bucket is a range of suffix keys (64-bit keys of those bytes, as order
+time; a bucket is a range of suffix keys (hashes of those bytes, as order
 beyond equality is not needed), gathered from all blocks as sorted runs of
 packed differences. What returns to a block is one bit for each of its keys.
 
@@ -18,7 +18,6 @@ holds earlier text and no position need travel.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 
@@ -41,18 +40,21 @@ _WORD = np.random.default_rng(99).integers(0, 1 << 64, 64, dtype=np.uint64) | np
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprints(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """64-bit keys of the ``length`` bytes from each position on; ``data`` is padded by 8 bytes."""
+def fingerprints(data: np.ndarray, at: np.ndarray, length: int, more: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the ``length`` bytes from each position on, and 64 more bits where asked for; ``data`` is padded by 8 bytes."""
     words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-    out = np.zeros(len(at), np.uint64)
+    out, extra = np.zeros(len(at), np.uint64), np.zeros(len(at) if more else 0, np.uint64)
     offsets = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
     for k, o in enumerate(offsets):
         x = words[at + o] * _WORD[k]
+        if more:
+            extra += x ^ (x >> np.uint64(32))
+            extra *= _WORD[-1]
         x ^= x >> np.uint64(31)
         out += x
         out *= _M
         out ^= out >> np.uint64(29)
-    return out
+    return out, extra
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -123,7 +125,7 @@ class Block:
         covered[list(COVER)] = True
         spans = [b + np.flatnonzero(covered[np.arange(n - short + 1) % PERIOD]) for b, n in zip(self.begin, self.sizes, strict=True) if n >= self.length]
         at = np.concatenate(spans) if spans else np.zeros(0, np.int64)
-        return at, fingerprints(self.data, at, short)
+        return at, fingerprints(self.data, at, short)[0]
 
     def open_suffixes(self, twins: np.ndarray) -> np.ndarray:
         """Positions of whole strings with one of the sample positions ``twins`` among the next v."""
@@ -139,17 +141,39 @@ class Block:
         return np.flatnonzero(near & whole)
 
 
-def _runs(block: int, keys: np.ndarray, bits: int, most: int):
-    """Sorted distinct keys of a block as one packed run for each bucket (a range of the leading ``bits`` bits)."""
-    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
-    edges = [0, *cuts.tolist(), len(keys)]
-    mask = np.uint64((1 << (64 - bits)) - 1)
-    drop = np.uint64(64 - bits - most if most else 0)
-    for bucket in range(1 << bits):
-        own = keys[edges[bucket] : edges[bucket + 1]]
-        if len(own):
-            own = (own & mask) >> drop
-            yield bucket, block, pack(np.unique(own) if most else own)
+def _values(keys: np.ndarray, more: np.ndarray, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket (the leading ``bits`` bits) and value of each key.
+
+    Samples keep the next ``most`` bits. Suffixes keep all other bits and fill
+    the value up with ``bits`` bits more, so that a larger corpus has longer keys.
+    """
+    rest = keys & np.uint64((1 << (64 - bits)) - 1)
+    bucket = (keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)).astype(np.int64)
+    if most:
+        return bucket, rest >> np.uint64(64 - bits - most)
+    return bucket, (rest << np.uint64(bits)) | (more >> np.uint64(64 - bits)) if bits else rest
+
+
+def _distinct(bucket: np.ndarray, value: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, the first position of each, and the pair of each position. ``keys`` sort like the pairs, but for ties."""
+    order = np.argsort(keys, kind="stable")
+    b, v = bucket[order], value[order]
+    if ((b[1:] == b[:-1]) & (v[1:] < v[:-1])).any():
+        order = np.lexsort((value, bucket))
+        b, v = bucket[order], value[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (b[1:] != b[:-1]) | (v[1:] != v[:-1])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return b[new], v[new], order[new], back
+
+
+def _runs(block: int, bucket: np.ndarray, value: np.ndarray):
+    """Sorted distinct values of a block as one packed run for each bucket that it has."""
+    edges = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket)) if len(bucket) else [0]
+    rows = [(int(bucket[lo]), block, pack(value[lo:hi])) for lo, hi in zip(edges[:-1], edges[1:])]
+    if rows:
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def _sample_runs(length: int, bits: int, most: int):
@@ -157,9 +181,8 @@ def _sample_runs(length: int, bits: int, most: int):
         for batch in batches:
             for block, sizes, data in zip(batch.column("block").to_pylist(), batch.column("sizes").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 _, keys = Block(sizes, data, length).samples()
-                rows = list(_runs(block, np.unique(keys), bits, most))
-                if rows:
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary())})
+                bucket, value = _values(keys, keys, bits, most)
+                yield from _runs(block, *_distinct(bucket, value, keys)[:2])
 
     return run
 
@@ -203,27 +226,22 @@ def _answer(kind: int, earlier: bool):
     return run
 
 
-def _hits(keys: np.ndarray, bits: int, most: int, answers: dict[int, bytes]) -> np.ndarray:
-    """The answer for each of the sorted distinct keys of a block."""
-    hit = np.zeros(len(keys), bool)
-    mask = np.uint64((1 << (64 - bits)) - 1)
-    drop = np.uint64(64 - bits - most if most else 0)
-    for bucket, packed in answers.items():
-        low = np.searchsorted(keys, np.uint64(bucket << (64 - bits))) if bits else 0
-        high = np.searchsorted(keys, np.uint64((bucket + 1) << (64 - bits))) if bits and bucket + 1 < 1 << bits else len(keys)
-        own = (keys[low:high] & mask) >> drop
-        short, back = np.unique(own, return_inverse=True) if most else (own, np.arange(len(own)))
-        hit[low:high] = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), count=len(short)).astype(bool)[back]
+def _hits(bucket: np.ndarray, size: int, answers: dict[int, bytes]) -> np.ndarray:
+    """The answer for each of a block's sorted distinct values, whose buckets these are."""
+    hit = np.zeros(size, bool)
+    for name, packed in answers.items():
+        low, high = np.searchsorted(bucket, [name, name + 1])
+        hit[low:high] = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), count=int(high - low)).astype(bool)
     return hit
 
 
-def _open_keys(block: Block, bits: int, most: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _open_keys(block: Block, bits: int, most: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions and keys of the suffixes that samples leave open."""
     at, keys = block.samples()
-    unique, back, times = np.unique(keys, return_inverse=True, return_counts=True)
-    twin = (times > 1) | _hits(unique, bits, most, answers)
+    bucket, _, _, back = _distinct(*_values(keys, keys, bits, most), keys)
+    twin = (np.bincount(back, minlength=len(bucket)) > 1) | _hits(bucket, len(bucket), answers)
     still = block.open_suffixes(at[twin[back]])
-    return still, fingerprints(block.data, still, block.length)
+    return still, *fingerprints(block.data, still, block.length, more=True)
 
 
 def _by_kind(notes) -> tuple[dict[int, bytes], dict[int, bytes]]:
@@ -238,10 +256,8 @@ def _suffix_runs(length: int, bits: int, most: int, suffix_bits: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1).to_pylist()[0]
-                _, keys = _open_keys(Block(one["sizes"], one["data"], length), bits, most, _by_kind(one["notes"])[0])
-                rows = list(_runs(one["block"], np.unique(keys), suffix_bits, 0))
-                if rows:
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary())})
+                _, keys, more = _open_keys(Block(one["sizes"], one["data"], length), bits, most, _by_kind(one["notes"])[0])
+                yield from _runs(one["block"], *_distinct(*_values(keys, more, suffix_bits, 0), keys)[:2])
 
     return run
 
@@ -253,11 +269,11 @@ def _cut(length: int, bits: int, most: int, suffix_bits: int):
                 one = batch.slice(row, 1).to_pylist()[0]
                 block = Block(one["sizes"], one["data"], length)
                 first, second = _by_kind(one["notes"])
-                still, keys = _open_keys(block, bits, most, first)
-                unique, lead, back = np.unique(keys, return_index=True, return_inverse=True)
+                still, keys, more = _open_keys(block, bits, most, first)
+                bucket, _, lead, back = _distinct(*_values(keys, more, suffix_bits, 0), keys)
                 again = np.ones(len(keys), bool)
                 again[lead] = False  # positions ascend: the first of equal keys is the earliest
-                starts = still[again | _hits(unique, suffix_bits, 0, second)[back]]
+                starts = still[again | _hits(bucket, len(bucket), second)[back]]
                 n = int(block.ends[-1])
                 marks = np.zeros(n + length + 1, np.int32)
                 np.add.at(marks, starts, 1)
@@ -276,19 +292,16 @@ def _cut(length: int, bits: int, most: int, suffix_bits: int):
     return run
 
 
-def _free_shuffles(df: DataFrame) -> None:
-    """Shuffle files of finished steps go when the driver's JVM collects its garbage; here disk counts."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def repeated_bytes(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``: what stays of each document when repeats go.
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a
     smaller doc_id, or earlier in the same document. Strings are judged on
     the input and never cross documents. Copies of whole documents are found
-    by MD5 and size first. Equal keys of 64 bits count as equal strings.
+    by MD5 and size first. Strings with equal keys count as equal: keys have 64
+    bits and one more for each doubling of the buckets, so that false matches
+    stay rare as the corpus grows. A task holds a block, and of a document longer
+    than BLOCK all its bytes with about twenty times as many for keys.
 
     Null text counts as empty; texts shorter than ``length`` keep all. Rows
     with a null id come before all others. Rows that share an id are
@@ -308,7 +321,6 @@ def repeated_bytes(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     ordered = plain.select("doc_id", F.lit(1).alias("kind"), "text").union(notes.distinct())
     parts = max(1, int(total // (8 * BLOCK)) + 1)
     blocks = settle(ordered.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "kind", F.length("text"), "text").mapInArrow(_blocks, "block long, ids array<long>, sizes array<long>, data binary"), "blocks")
-    _free_shuffles(blocks)
 
     n_samples = total * len(COVER) // PERIOD
     bits = max(0, (n_samples // BUCKET).bit_length())
@@ -325,10 +337,8 @@ def repeated_bytes(docs: DataFrame, length: int = 100, key: str = "doc_id", text
         return blocks.join(mine, "block", "left").select("block", "ids", "sizes", "data", "notes")
 
     first = solve(blocks.select("block", "sizes", "data").mapInArrow(_sample_runs(length, bits, most), run), 0, False)
-    _free_shuffles(first)
     open_runs = noted(first).mapInArrow(_suffix_runs(length, bits, most, bits), run)
     second = solve(open_runs, 1, True)
-    _free_shuffles(second)
     kept = noted(first.union(second)).mapInArrow(_cut(length, bits, most, bits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     gone = copies.select("doc_id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
     return kept.union(gone)
