@@ -146,15 +146,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bar: float = 0.4, sample:
 
     Null or empty text has no features and gets the base rate. Labels with a
     null id or category are left out; a document labelled twice is trained on
-    its highest labels. Repeated rows score alike. Empty tables give empty
+    its highest labels, rows that share an id on one of their texts. Repeated
+    rows score alike, long texts are read whole, ties in chi-square go by name. Empty tables give empty
     results; other columns do not matter.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     values = [F.max(F.expr(e)).cast("int").alias(n) for n, e in CHAIN]
-    chosen = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(*values).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(*values)
+    # ids of labelled documents only, each once: none of the sample is used up without a text
+    chosen = plain.select("doc_id").join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     y = F.array(*[F.col(n) for n, _ in CHAIN]).alias("y")
-    taken = settle(plain.join(F.broadcast(settle(chosen.select("doc_id", y), "chosen")), "doc_id"), "sample")
+    texts = plain.join(F.broadcast(settle(chosen.select("doc_id", y), "chosen")), "doc_id")
+    # of rows that share an id, the first text stands for it
+    taken = settle(texts.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text")), "sample")
     totals = taken.agg(F.count("*").alias("n"), *[F.sum(F.col("y")[k]).alias(f"t{k}") for k in (0, 1)]).first()
     n = totals["n"]
     if not n:
