@@ -96,8 +96,8 @@ def build_cascade(universe: DataFrame, listed: Column, max_bits: int = 1 << 26)
 
     Level 0 holds the listed keys; level 1 the other keys that pass level 0;
     level 2 the listed keys that pass level 1; until none passes. Only packed
-    bits reach the driver: ``max_bits`` per level (8 MB) is checked first, and
-    ``judge_hosts`` joins instead where a level would need more.
+    bits reach the driver; ``max_bits`` per level (8 MB) is checked first.
+    Raises ValueError where a level would need more: raise ``max_bits`` then.
     """
     cur = settle(universe.select("key", F.coalesce(listed, F.lit(False)).alias("listed")), "keys")
     sizes = {r["listed"]: r["count"] for r in cur.groupBy("listed").count().collect()}
