@@ -10,6 +10,8 @@ are compared exactly.
 from __future__ import annotations
 
 import hashlib
+import math
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,15 @@ ship(__name__)
 PARTS = 2
 #: Filters that a vector gets at least: the best ones, where fewer exceed the threshold.
 FEWEST = 12
+#: For so many different vectors, directions a part and filters a vector on average; how the latter grow with their number (their power for links of cosine 0.93).
+AT, WORDS, FILTERS, GROWTH = 10_000, 256, 25.5, 0.036
+
+
+def code_size(n: int) -> tuple[int, float]:
+    """Directions a part and threshold for ``n`` vectors: filters grow with n, members of a filter hardly."""
+    words = min(1 << 14, max(64, math.ceil(WORDS * math.sqrt(n / AT))))
+    filters = FILTERS * max(1.0, n / AT) ** GROWTH
+    return words, NormalDist().inv_cdf(1 - min(0.5, filters / words**PARTS))
 
 
 def product_code(dim: int, words: int, seed: int = 11) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -146,14 +157,14 @@ def _buckets(least: float):
     return work
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, words: int = 256, threshold: float = 3.36, chunk: int = 512, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, words: int | None = None, threshold: float | None = None, chunk: int = 512, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors``.
 
     Vectors are compared if their labels are equal and not null, and their
     lengths too. Pairs that share a filter are compared in double precision;
     all found at ``least`` or above count. ``words`` directions a part give
-    words ** 2 filters; raise both with the number of vectors to keep filters
-    small. Equal vectors are compared once and count as often as they occur.
+    words ** 2 filters; these and the threshold follow the number of different
+    vectors unless they are given, so that filters stay small. Equal vectors are compared once and count as often as they occur.
     A filter with more than ``chunk`` members is dealt out in pairs of chunks,
     so no task compares more than two chunks at a time, and none is left out.
 
@@ -166,6 +177,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, words: int = 256, thre
     rows = settle(plain.mapInArrow(_normal, "vec_id long, label string, print binary, unit binary"), "vectors")
     able = rows.where("label is not null and unit is not null")
     reps = able.groupBy("label", "print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    reps = settle(reps, "reps")
+    fit = code_size(reps.count())
+    words, threshold = words or fit[0], threshold if threshold is not None else fit[1]
     decoded = settle(reps.mapInArrow(_decode(words, threshold), "label string, print binary, rep long, copies long, unit binary, filters array<long>"), "decoded")
     entries = decoded.select("label", F.octet_length("unit").alias("size"), "print", F.explode("filters").alias("filter"))
     sizes = entries.groupBy("label", "size", "filter").count().where("count > 1")
