@@ -323,9 +323,9 @@ def jaccard_rows(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
 
     tested: list[DataFrame] = []
 
-    def connected(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    def connected(pairs: DataFrame, comp: DataFrame, few: int = 1) -> DataFrame:
         """Components once no pair is open; a few pairs of each component a round, most are settled by then."""
-        few, texts, mine = 1, texts_of(pairs), []
+        texts, mine = texts_of(pairs), []
         while True:
             crossing = labelled(pairs, comp)
             for done in mine:
@@ -339,12 +339,12 @@ def jaccard_rows(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
             tested.append(mine[-1])
             after = settle(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(mine[-1].where("ok").select("a", "b"))), "components")
             release(pick, comp)
-            comp, few = after, few * 4
+            comp, few = after, few * 8
 
     comp = connected(near, settle(components(near.limit(0)), "components"))
     # a group of two has met
     rest = settle(groups.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key"), "rest")
-    few = 1
+    few = 2
     while True:
         mine = groups.select("key", "node").join(rest, "key", "left_semi").join(comp, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         parts = mine.groupBy("key", "c").agg(F.count("*").alias("m"))
@@ -364,7 +364,7 @@ def jaccard_rows(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
         rows = dealt.join(sketches, "node").join(failed, "node", "left").select(*run, "side", "node", "c", "n", "sketch", "failed").repartition(*run).sortWithinPartitions(*run)
         found = settle(rows.mapInArrow(_open_groups(percent, few), "key long, a long, b long"), "found")
         before = len(tested)
-        comp = connected(found.select("a", "b").distinct(), comp)
+        comp = connected(found.select("a", "b").distinct(), comp, few=8)
         # a pair that stood for others in its group and failed: they meet in the next round
         wrong = [t.where("not ok").select("a", "b") for t in tested[before:]]
         again = settle((found.join(reduce(DataFrame.union, wrong), ["a", "b"], "left_semi") if wrong else found.limit(0)).select("key").distinct(), "rest")
@@ -372,7 +372,7 @@ def jaccard_rows(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
         rest = again
         if rest.isEmpty():
             break
-        few *= 4
+        few *= 16
 
     named = reps.join(comp, F.col("node") == F.col("id"), "left").select("node", "first", F.coalesce("component", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("least"))
