@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, merge
 from ..operators.predicates import matches
+from ..operators.shared import settle
 from ..session import table as t
 from .registry import query
 
@@ -43,10 +44,10 @@ def _(spark, sf):
     return rows.select("o_orderkey", "o_custkey", F.col("kids")[0]["l_partkey"].alias("first_part"), F.coalesce(F.size("kids"), F.lit(0)).cast("long").alias("n_lines"), F.array_join(F.transform("kids", lambda k: k["l_partkey"].cast("string")), ",").alias("parts"))
 
 
-@query("join05_composite_key", "select a.l_orderkey, a.l_linenumber, b.l_quantity from lineitem a join (select * from lineitem where l_shipdate < timestamp '1995-01-01') b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber")
+@query("join05_composite_key", "select a.l_orderkey, a.l_linenumber, b.l_quantity from lineitem a join (select * from lineitem where l_shipdate < timestamp '1998-01-01') b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber")
 def _(spark, sf):
     line = t(spark, sf, "lineitem")
-    old = line.where("l_shipdate < timestamp '1995-01-01'").select("l_orderkey", "l_linenumber", "l_quantity")
+    old = line.where("l_shipdate < timestamp '1998-01-01'").select("l_orderkey", "l_linenumber", "l_quantity")
     return line.select("l_orderkey", "l_linenumber").join(old, ["l_orderkey", "l_linenumber"])
 
 
@@ -72,12 +73,13 @@ def _(spark, sf):
 
 @query("join08_closure", "with recursive e as (select p_partkey as child, p_partkey // 2 as parent from part where p_partkey > 1), r(id, depth) as (select 3::bigint, 0 union select e.child, r.depth + 1 from r join e on e.parent = r.id) select id, depth::bigint as depth from r")
 def _(spark, sf):
-    """Everything below key 3: a semi-join a level, until a level is empty; the fixed relation is a tree, so no key comes twice."""
+    """Everything below key 3: a join a level, until a level has no key that was not seen before; so a cycle ends too."""
     edges = t(spark, sf, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
     level = spark.range(1).select(F.lit(3).cast("long").alias("id"), F.lit(0).cast("long").alias("depth"))
     found = level
     while True:
-        level = edges.join(level, F.col("parent") == F.col("id")).select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth")).persist()
+        below = edges.join(level, F.col("parent") == F.col("id")).select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"))
+        level = settle(below.dropDuplicates(["id"]).join(found.select("id"), "id", "left_anti"), "level")
         if level.isEmpty():
             return found
         found = found.union(level)
@@ -97,11 +99,11 @@ def _(spark, sf):
     return edges.union(edges.select("b", "a")).distinct()
 
 
-@query("join12_anti_either_key", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey) and not exists (select 1 from supplier where s_name = replace(c_name, 'Customer', 'Supplier'))")
+@query("join12_anti_either_key", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P') and not exists (select 1 from supplier where s_name = replace(c_name, 'Customer', 'Supplier'))")
 def _(spark, sf):
     """An anti-join on either of two keys as two anti-joins: an OR would be a nested loop."""
     c = t(spark, sf, "customer").withColumn("other", F.replace("c_name", F.lit("Customer"), F.lit("Supplier")))
-    return c.join(t(spark, sf, "orders"), F.expr("o_custkey = c_custkey"), "left_anti").join(t(spark, sf, "supplier"), F.expr("s_name = other"), "left_anti").select("c_custkey")
+    return c.join(t(spark, sf, "orders").where("o_orderstatus = 'P'"), F.expr("o_custkey = c_custkey"), "left_anti").join(t(spark, sf, "supplier"), F.expr("s_name = other"), "left_anti").select("c_custkey")
 
 
 @query("join15_missing_grouped", "select l.doc_id % 10 as bucket, count(distinct l.doc_id)::bigint as n, min(l.doc_id) as first_id from labels l where not exists (select 1 from documents d where d.doc_id = l.doc_id and d.n_chars > 1000) group by 1")
@@ -142,13 +144,16 @@ def _(spark, sf):
     return t(spark, sf, "customer").join(t(spark, sf, "orders"), F.expr("o_custkey = c_custkey"), "left_anti").agg(F.count("*").alias("orphans"))
 
 
-@query("join27_align", "select l.doc_id, row_number() over (order by l.doc_id)::bigint as place, d.lang from labels l join documents d using (doc_id) where l.doc_id < 300")
+@query("join27_align", "select l.doc_id, row_number() over (order by l.doc_id)::bigint as place, d.lang from labels l join documents d using (doc_id)")
 def _(spark, sf):
-    rows = t(spark, sf, "labels").where("doc_id < 300").join(t(spark, sf, "documents"), "doc_id")
-    return rows.select("doc_id", F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("place"), "lang")
-
-
-# ---- aggregates ----------------------------------------------------------------
+    """Places over the whole table: rows are dealt by range, numbered within a range, and ranges by the sizes of those before."""
+    rows = t(spark, sf, "labels").join(t(spark, sf, "documents"), "doc_id").select("doc_id", "lang")
+    dealt = settle(rows.repartitionByRange(64, "doc_id").withColumn("part", F.spark_partition_id()), "aligned")
+    # one row a range
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "ahead")
+    own = F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))
+    return dealt.join(F.broadcast(parts), "part").select("doc_id", (own + F.col("ahead")).alias("place"), "lang")
 
 
 @query("agg01_duplicates", "select l_partkey, l_suppkey, l_quantity, l_returnflag, count(*)::bigint as n from lineitem group by all having count(*) > 1")
