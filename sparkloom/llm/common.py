@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 #: Links from which on a round's minima are written, so that a hub's rows can be split between tasks.
 HUB_LINKS = 1_000_000
+#: Links that one task takes in a round; so few need no shuffle.
+TASK_LINKS = 100_000
 #: While a table is written: shuffle files go with the plan, and Arrow batches stay small in the workers.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -130,8 +132,9 @@ def components(edges: DataFrame, vertex: str = "bigint") -> DataFrame:
     Rounds of large-star and small-star, each a shuffle on one column. Links
     are kept as (larger end, smaller end). A round joins links to the minima of
     their ends; with many links the minima are written first, so that Spark can
-    split the rows of a hub over several tasks. Rows with a null or equal ends
-    link nothing. Vertices without a link are not returned.
+    split the rows of a hub over several tasks. Links of one task, TASK_LINKS at
+    most, make their round in that task without a shuffle. Rows with a null or
+    equal ends link nothing. Vertices without a link are not returned.
     """
     cur = settle(
         edges.where("a is not null and b is not null and a <> b")
@@ -146,19 +149,24 @@ def components(edges: DataFrame, vertex: str = "bigint") -> DataFrame:
         if state == before or not seen["n"]:
             break
         before = state
-        tasks = -(-seen["n"] // 100_000)  # few links need few tasks a round
+        tasks = -(-seen["n"] // TASK_LINKS)
 
-        def minima(links: DataFrame, n: int = seen["n"]) -> DataFrame:
-            low = links.groupBy("u").agg(F.min("v").alias("m"))
+        def narrow(rows: DataFrame, n: int = tasks) -> DataFrame:
+            return rows.coalesce(1) if n == 1 else rows
+
+        def minima(pairs: DataFrame, n: int = seen["n"]) -> DataFrame:
+            low = pairs.groupBy("u").agg(F.min("v").alias("m"))
             return settle(low, "minima") if n > HUB_LINKS else low
 
-        low = minima(cur)
+        links = narrow(cur)
+        low = minima(links)
         # each larger neighbour of a vertex, and the vertex itself, goes to the smallest that the vertex sees
-        up = cur.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
-        large = settle(up.union(low.select("u", F.col("m").alias("v"))).distinct(), "links", tasks)
-        small_low = minima(large)
-        small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = settle(small.union(small_low.select("u", F.col("m").alias("v"))).distinct(), "links", tasks)
+        up = links.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = settle(narrow(up.union(low.select("u", F.col("m").alias("v")))).distinct(), "links", tasks)
+        links = narrow(large)
+        small_low = minima(links)
+        small = links.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = settle(narrow(small.union(small_low.select("u", F.col("m").alias("v")))).distinct(), "links", tasks)
         release(cur, low, large, small_low)
         cur = after
     roots = cur.select(F.col("v").alias("id")).distinct()

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import cap_filters, decontaminate, html_text, kneser_ney, mixing, parity_join, sharding, suffix_dedup, toxicity, url_cascade
+from sparkloom.llm import cap_filters, common, decontaminate, html_text, kneser_ney, mixing, parity_join, sharding, suffix_dedup, toxicity, url_cascade
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, node string, component string"
@@ -409,3 +409,16 @@ def test_quality_scores_no_text_by_itself(spark):
             if fold[i] == f:
                 s = ["<", "<", *t, ">"]
                 assert abs(got.logp[i] - sum(math.log(prob(*g)) for g in zip(s, s[1:], s[2:]))) < 1e-6
+
+
+def test_components_in_one_task_and_in_many(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(60)]
+    hub = [(500, i) for i in range(501, 560)]
+    odd = [(None, 3), (70, 70), (5, None), (80, 79), (79, 80)]
+    want = {i: 0 for i in range(61)} | {i: 500 for i in range(500, 560)} | {79: 79, 80: 79}
+    links = spark.createDataFrame(chain + hub + odd, "a long, b long").repartition(5)
+    for most in (100_000, 50):
+        monkeypatch.setattr(common, "TASK_LINKS", most)
+        rows = common.components(links).collect()
+        assert len(rows) == len(want) and {r["id"]: r["component"] for r in rows} == want
+    assert common.components(links.limit(0)).count() == 0
