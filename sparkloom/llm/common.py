@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
-from weakref import WeakKeyDictionary
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from ..operators.shared import release, settle, shared_folder
+
+__all__ = ["column", "components", "fresh", "marked_rows", "release", "row_key", "row_mark", "settle", "shared_folder", "ship"]
+
 #: White space of the word contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of 16 bytes that are broadcast at most; larger tables are joined by a shuffle.
@@ -20,9 +21,6 @@ BROADCAST_ROWS = 1_000_000
 HUB_LINKS = 1_000_000
 #: Links that one task takes in a round; so few need no shuffle.
 TASK_LINKS = 100_000
-#: While a table is written: shuffle files go with the plan, and Arrow batches stay small in the workers.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
-_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def ship(module: str) -> None:
@@ -33,54 +31,6 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode, where both are one process.
-
-    Raises ValueError on a cluster without ``spark.checkpoint.dir``.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def settle(df: DataFrame, name: str = "t", tasks: int | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later plans start from files that outlive executors.
-
-    The shuffle files of the written plan go with its execution, and its Arrow
-    batches are of 16 MB at most. ``tasks``: at
-    most so many tasks make its last step, for tables known to be small.
-    """
-    if tasks:
-        df = df.coalesce(tasks)
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in _WRITING}
-    try:
-        for k, v in _WRITING.items():
-            spark.conf.set(k, v)
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete settled tables that nothing reads any more; other DataFrames are left alone."""
-    for table in tables:
-        path = _paths.pop(table, None)
-        if path:
-            spark = table.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
