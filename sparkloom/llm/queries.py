@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cap_filters, decontaminate, html_text, kneser_ney, mixing, parity_join, sharding, suffix_dedup, toxicity, url_cascade
+from . import cap_filters, decontaminate, html_text, kneser_ney, merkle, mixing, parity_join, sharding, suffix_dedup, toxicity, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,10 @@ def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", "keep")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -71,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op8_benchmark_leaks": op8_benchmark_leaks,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_perplexity": op10_quality_perplexity,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
@@ -150,5 +155,51 @@ from v left join n on n.a = v.vec_id left join c on c.a = v.vec_id
 """
 
 
+def _merkle_levels(name: str, height: int = 9) -> str:
+    """SQL of a hash tree over ``name``0 (g, i, h): nodes, their siblings left and right; enough levels for 8 ** height nodes."""
+    out = []
+    for k in range(height):
+        out.append(f"""{name}s{k} as (
+  select *, count(*) over (partition by g) > 1 as more,
+    coalesce(string_agg(h, '') over (partition by g, i // 8 order by i rows between unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(h, '') over (partition by g, i // 8 order by i rows between 1 following and unbounded following), '') as r from {name}{k}),
+{name}{k + 1} as (select g, i // 8 as i, case when any_value(more) then sha256(string_agg(h, '' order by i)) else any_value(h) end as h from {name}s{k} group by all)""")
+    return ",\n".join(out)
+
+
+def _merkle_proof(name: str, height: int = 9) -> str:
+    """SQL of the proof steps of each node of ``name``0: a list of the siblings' sides, level by level."""
+    parts = " || ".join(f"case when a{k}.more then [{{'l': a{k}.l, 'r': a{k}.r}}] else [] end" for k in range(height))
+    joins = " ".join(f"join {name}s{k} a{k} on a{k}.g = a0.g and a{k}.i = a0.i // {8**k}" for k in range(1, height))
+    return f"{name}p as (select a0.g, a0.i, {parts} as path from {name}s0 a0 {joins})"
+
+
+OP11_SQL = rf"""
+with c as (
+  select *, row_number() over () as nr, case when text is null or doc_id is null then false else
+    xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::ubigint), lambda acc, b: list_reduce(list_transform(range(8), lambda z: z::ubigint),
+      lambda v, z: xor(v >> 1, (v & 1::ubigint) * 3988292384::ubigint), xor(acc, b)), 4294967295::ubigint), 4294967295::ubigint) % 3 = 0 end as tampered from documents),
+f as (
+  select nr, doc_id, lang, tampered, sha256(coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    case when tampered then sha256(coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) end as touched from c),
+d as (
+  select *, dense_rank() over (order by lang is not null, encode(lang)) - 1 as g, row_number() over (partition by lang order by doc_id nulls first, leaf, nr) - 1 as i from f),
+t0 as (select g, i, leaf as h from d),
+{_merkle_levels("t")},
+{_merkle_proof("t")},
+u0 as (select 0 as g, g as i, h from t9),
+{_merkle_levels("u")},
+{_merkle_proof("u")},
+e as (
+  select doc_id, leaf, touched, u0.h as subroot, u9.h as root, tp.path || up.path as path
+  from d join tp on tp.g = d.g and tp.i = d.i join u0 on u0.i = d.g join up on up.i = d.g cross join u9),
+v as (
+  select *, list_reduce(list_transform(path, lambda p: p), lambda acc, p: {{'l': '', 'r': sha256(p.l || acc.r || p.r)}}, {{'l': '', 'r': coalesce(touched, leaf)}}).r as folded_root from e)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda p: p.l || p.r), '')) as proof_sha256, folded_root, folded_root = root as verified from v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_near_vectors": OP7_SQL, "op9_ngram_jaccard": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_near_vectors": OP7_SQL, "op9_ngram_jaccard": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
