@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cap_filters, decontaminate, html_text, kneser_ney, merkle, mixing, parity_join, sharding, suffix_dedup, toxicity, url_cascade
+from . import cap_filters, decontaminate, html_text, kneser_ney, merkle, mixing, parity_join, product_codes, sharding, suffix_dedup, toxicity, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -76,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_perplexity": op10_quality_perplexity,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -201,5 +206,32 @@ select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path,
 """
 
 
+def _code_rounds() -> str:
+    """SQL of two rounds of assignment and update."""
+    return ",\n".join(
+        f"""a{k} as (select v.nr, v.p, min({{'d': list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, 'e': b.e}}) as m from v join b{k} b using (p) group by all),
+w{k} as (select p, m.e as e, c, sum(x[c]) as s, count(*) as n from a{k} join v using (nr, p), unnest(range(1, len(x) + 1)) t(c) group by all),
+u{k} as (select p, e, list(((s - ((s % n) + n) % n) // n)::bigint order by c) as x from w{k} group by all),
+b{k + 1} as (select p, e, coalesce(u{k}.x, b{k}.x) as x from b{k} left join u{k} using (p, e))"""
+        for k in range(2)
+    )
+
+
+OP13_SQL = rf"""
+with sound as (
+  select *, row_number() over (order by vec_id nulls last, embedding) as nr from embeddings
+  where embedding is not null and len(embedding) > 0 and len(embedding) % 16 = 0
+    and len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = len(embedding)),
+r as (select nr, vec_id, label, list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x from sound),
+v as (select nr, p, x[(p * len(x) // 16 + 1):((p + 1) * len(x) // 16)] as x from r, unnest(range(16)) t(p)),
+b0 as (select p, nr - 1 as e, x from v where nr <= 64),
+{_code_rounds()},
+a2 as (select v.nr, v.p, min({{'d': list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, 'e': b.e}}) as m from v join b2 b using (p) group by all),
+o as (select nr, string_agg(printf('%02x', m.e), '' order by p) as code, sum(m.d)::bigint as error from a2 group by nr),
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) as codebooks_sha256 from b2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from o join r using (nr) cross join h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_near_vectors": OP7_SQL, "op9_ngram_jaccard": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_near_vectors": OP7_SQL, "op9_ngram_jaccard": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op13_vector_codes": OP13_SQL}
