@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cap_filters, decontaminate, html_text, kneser_ney, merkle, mixing, parity_join, product_codes, sharding, suffix_dedup, toxicity, url_cascade
+from . import cap_filters, decontaminate, html_text, kneser_ney, merkle, mixing, parity_join, product_codes, quality_trees, sharding, suffix_dedup, toxicity, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_codes.encode_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Query]:
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_perplexity": op10_quality_perplexity,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_quality_trees": op12_quality_trees,
         "op13_vector_codes": op13_vector_codes,
     }
 
