@@ -170,17 +170,21 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, words: int | None = No
 
     Null, empty or zero vectors, and those with null or non-finite
     components, link with nothing; so do rows with a null label. Repeated rows
-    are vectors of their own, linked with each other. Empty tables give empty
+    are vectors of their own, linked with each other; unlike vectors under one
+    id have links of their own. A null id is no component's smallest unless all
+    of the component are null; then component_id is null and its rows are kept.
+    Empty tables give empty
     results; other columns do not matter.
     """
     plain = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("embedding"))
     rows = settle(plain.mapInArrow(_normal, "vec_id long, label string, print binary, unit binary"), "vectors")
     able = rows.where("label is not null and unit is not null")
-    reps = able.groupBy("label", "print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
-    reps = settle(reps, "reps")
+    reps = able.groupBy("label", "print").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    # different vectors have numbers of their own, whatever their ids; written, they stay as they are
+    reps = settle(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
     fit = code_size(reps.count())
     words, threshold = words or fit[0], threshold if threshold is not None else fit[1]
-    decoded = settle(reps.mapInArrow(_decode(words, threshold), "label string, print binary, rep long, copies long, unit binary, filters array<long>"), "decoded")
+    decoded = settle(reps.select("label", "print", "rep", "copies", "unit").mapInArrow(_decode(words, threshold), "label string, print binary, rep long, copies long, unit binary, filters array<long>"), "decoded")
     entries = decoded.select("label", F.octet_length("unit").alias("size"), "print", F.explode("filters").alias("filter"))
     sizes = entries.groupBy("label", "size", "filter").count().where("count > 1")
     shared = entries.join(sizes, ["label", "size", "filter"])
@@ -194,8 +198,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, words: int | None = No
     found = settle(met.select(*bucket, "chunk", "rep", "copies", "unit", "filters").repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(_buckets(least), "rep long, links long, root long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = decoded.select("label", "print", "rep", "copies").join(links, "rep", "left").join(comp, F.col("rep") == F.col("id"), "left")
-    named = named.select("label", "print", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = reps.select("label", "print", "rep", "copies", "low").join(links, "rep", "left").join(comp, F.col("rep") == F.col("id"), "left")
+    named = named.select("label", "print", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    named = settle(named, "named")
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = named.drop("low").join(lows, "component")
     out = rows.select("vec_id", "label", "print").join(named, ["label", "print"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +76,17 @@ class Index:
             whole = math.fsum(raw.values())
             self.impacts.append({t: x / whole for t, x in raw.items()})
         blocks = -(-len(items) // ITEMS)
-        rare = sorted(t for b in map(set, bags) for t in b if df[t] <= max(2, COMMON * n))
+        spread = {t for t, m in df.items() if m > max(2, COMMON * n)}
+        # common terms of an item that reach half of the threshold together get postings, the heaviest first
+        for impact in self.impacts:
+            left = sorted(((x, t) for t, x in impact.items() if t in spread), reverse=True)
+            rest = math.fsum(x for x, _ in left)
+            for x, t in left:
+                if rest <= least / 2:
+                    break
+                spread.discard(t)
+                rest -= x
+        rare = sorted(t for b in map(set, bags) for t in b if t not in spread)
         self.terms = {t: k for k, t in enumerate(dict.fromkeys(rare))}
         # postings of the terms that are not common, by block; what common terms can add is left to the block's bar
         self.postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(blocks)]
@@ -287,7 +298,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, share: flo
             usable = [(r["item_id"], r["text"]) for r in rows if words_of(r["text"])]
             if usable:
                 counts = {r["term"]: r["df"] for r in asked.where(F.col("shard") == k).collect()}
-                blobs.append(zlib.compress(pickle.dumps(Index(usable, counts, facts["n"], facts["mean"], least, max(64, facts["longest"]))), 1))
+                blobs.append(zlib.compress(cloudpickle.dumps(Index(usable, counts, facts["n"], facts["mean"], least, max(64, facts["longest"]))), 1))
         if blobs:
             found = plain.mapInArrow(_query(blobs, share), schema)
             out = found if out is None else out.union(found)
