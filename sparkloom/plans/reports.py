@@ -35,20 +35,9 @@ def _(spark, sf):
     return t(spark, sf, "documents").where(F.rlike("text", F.lit(r"\s*".join("License")))).select("doc_id", F.substring(F.col("text"), at, F.lit(30)).alias("evidence"))
 
 
-@query("txt30_stitched_windows", "with w as (select doc_id, text, i, substr(text, i * 60 + 1, 80) as piece from (select doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 20) / 60.0)::int))) as i from documents where n_chars < 2000)) select doc_id, string_agg(case when i = 0 then piece else substr(piece, 21) end, '' order by i) = text as equal from w group by doc_id, text")
-def _(spark, sf):
-    """Overlapping windows stitched to one body: each but the first without the overlap; equal to the text if there is no gap."""
-    docs = t(spark, sf, "documents").where("n_chars < 2000")
-    n = F.greatest(F.lit(1), F.ceil((F.length("text") - 20) / 60.0).cast("int"))
-    pieces = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select("doc_id", "text", "i", F.substring(F.col("text"), F.col("i") * 60 + 1, F.lit(80)).alias("piece"))
-    listed = F.array_sort(F.collect_list(F.struct("i", F.when(F.col("i") == 0, F.col("piece")).otherwise(F.substring(F.col("piece"), F.lit(21), F.lit(80))).alias("own"))))
-    body = F.array_join(F.transform(listed, lambda s: s["own"]), "")
-    return pieces.groupBy("doc_id").agg((body == F.first("text")).alias("equal"))
-
-
 @query("txt30_whole_windows")
 def _(spark, sf):
-    """As above over all documents, of any length; no text is no window, a null text gives null."""
+    """Windows of a fixed stride within one row, over all documents; no text is no window, a null text gives null."""
     docs = t(spark, sf, "documents")
     n = F.greatest(F.lit(1), F.ceil((F.coalesce(F.length("text"), F.lit(0)) - 20) / 60.0).cast("int"))
     windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * 60 + 1, F.lit(80)))
