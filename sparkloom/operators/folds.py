@@ -20,7 +20,7 @@ ship(structure.__name__)
 AT_ONCE = 1 << 22
 
 
-def _run(fold: Callable[[str], Iterable[tuple]], kinds: list, names: list[str]):
+def _run(fold: Callable[..., Iterable[tuple]], kinds: list, names: list[str]):
     def flush(rows: list[tuple], owner: list[int], kept: pa.RecordBatch) -> pa.RecordBatch:
         made = [pa.array(list(own), kind) for own, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([*kept.take(pa.array(owner)).columns, *made], names=names)
@@ -37,7 +37,7 @@ def _run(fold: Callable[[str], Iterable[tuple]], kinds: list, names: list[str]):
                 own = list(fold(text))
                 rows += own
                 owner += [k] * len(own)
-                size += len(text)
+                size += len(text) if isinstance(text, str) else sum(len(x) for x in text.values() if isinstance(x, str))
                 if rows and size > AT_ONCE:
                     yield flush(rows, owner, kept)
                     rows, owner, size = [], [], 0
@@ -47,9 +47,11 @@ def _run(fold: Callable[[str], Iterable[tuple]], kinds: list, names: list[str]):
     return run
 
 
-def fold_rows(df: DataFrame, keys: list[str], text: str, fold: Callable[[str], Iterable[tuple]], schema: str) -> DataFrame:
+def fold_rows(df: DataFrame, keys: list[str], text: str, fold: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """``keys`` of each row beside each tuple that ``fold`` makes of its ``text``; null texts give no rows. No shuffle.
 
+    ``text`` may be a struct column, which ``fold`` gets as a dict.
+
     ``schema`` is the DDL of the tuples. Rows are folded one by one, so
     repeated keys do not mix; a text is held whole in its task.
     """
