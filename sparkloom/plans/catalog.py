@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from . import changing, citing, reports, retrieval, selectors, star, structure, texts  # noqa: F401
+from . import changing, citing, releasing, reports, retrieval, selectors, star, structure, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
