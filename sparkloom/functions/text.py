@@ -74,3 +74,26 @@ def iso_day(text: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """Half the length, one at least."""
     return F.greatest(F.lit(1), F.floor(F.length(text) / 2)).cast("long")
+
+
+def notice_body(lines: Column, start: str, ends: list[str], date_mark: str, noise: list[str], most: int = 400) -> Column:
+    """Struct of ``body`` and ``published``: the lines from the first with ``start`` to before the first later one with an end mark.
+
+    At most ``most`` lines are taken, and the start's own line never ends them.
+    The date (year, month and day in digits) stands in the first line with
+    ``date_mark`` or in the next. Lines of up to three characters and those with
+    a word of ``noise`` go. Without a start both are empty.
+    """
+    has = lambda words: lambda line: F.reduce(F.array(*[F.contains(line, F.lit(w)) for w in words]), F.lit(False), lambda a, b: a | b)
+    first = F.array_position(F.transform(lines, has([start])), True)
+    taken = F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.lit(most))
+    end = F.array_position(F.transform(taken, lambda line, k: (k > 0) & has(ends)(line)), True)
+    body = F.when(end > 0, F.slice(taken, F.lit(1), (end - 1).cast("int"))).otherwise(taken)
+    mark = F.array_position(F.transform(body, has([date_mark])), True)
+    near = F.slice(body, F.greatest(mark, F.lit(1)).cast("int"), F.lit(2))
+    pattern = r"(20\d{2})[.\-/\s]+(\d{1,2})[.\-/\s]+(\d{1,2})"
+    dated = F.get(F.filter(near, lambda line: F.rlike(line, F.lit(pattern))), F.lit(0))
+    part = lambda k, width: F.lpad(F.regexp_extract(dated, pattern, k), width, "0")
+    published = F.when((mark > 0) & dated.isNotNull(), F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2))).otherwise("")
+    kept = F.array_join(F.filter(body, lambda line: (F.length(line) > 3) & ~has(noise)(line)), "\n")
+    return F.struct(F.when(first > 0, kept).otherwise("").alias("body"), F.when(first > 0, published).otherwise("").alias("published"))

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .audit import renumber
 from .shared import release, settle
 
 #: Operations, kinds of documents, names of corpora and versions, the plan's keys, columns that are no extra fields.
@@ -140,22 +141,8 @@ def apply_to_streams(streams: DataFrame, changes: DataFrame, known: list[str]) -
     made = _new_rows(changes).join(target, "document_id")
     new = made.select("stream", F.lit(None).cast("long").alias("position"), "chunk_id", F.col("document_id").alias("doc_id"), "doc_type", "text", "metadata", "fields", "place")
     old = kept.select("stream", "position", "chunk_id", "doc_id", "doc_type", "text", "metadata", "fields", F.lit(0).alias("place"))
-    return renumber(old.unionByName(new), "stream", ["_late", "position", "doc_id", "place", "chunk_id"]).drop("place")
-
-
-def renumber(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``position`` from 0 in each group by ``order`` (``_late``: rows without a position come last).
-
-    Rows are dealt out by ranges of group and order and written; a range starts at what lies before it.
-    """
-    late = rows.withColumn("_late", F.col("position").isNull())
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = settle(late.repartitionByRange(parts, group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(group, "_range").orderBy(*order)
-    return dealt.join(starts, [group, "_range"]).withColumn("position", (F.col("_start") + F.row_number().over(inside) - 1).cast("long")).drop("_late", "_range", "_start")
+    rows = old.unionByName(new).withColumn("late", F.col("position").isNull())
+    return renumber(rows, "stream", ["late", "position", "doc_id", "place", "chunk_id"]).drop("place", "late")
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:

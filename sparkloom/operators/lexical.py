@@ -8,17 +8,20 @@ for containment are read from that table.
 from __future__ import annotations
 
 import math
+import re
 import sys
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import ARTICLES, WORDS, tokenize
 from .shared import settle
 
 #: Entries of a (term, query) matrix; larger query sets are asked in parts.
@@ -31,19 +34,53 @@ DIGITS = 6
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _count(batches):
-    """Distinct terms of each document and their counts, from hashes of all its tokens."""
-    for batch in batches:
-        lists = batch.column("tokens")
-        size = np.diff(np.asarray(lists.offsets))
-        row, term = np.repeat(np.arange(len(size)), size), np.asarray(lists.flatten())
-        order = np.lexsort((term, row))
-        row, term = row[order], term[order]
-        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])))) if len(row) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(first, len(row)))
-        bounds = pa.array(np.searchsorted(row[first], np.arange(len(size) + 1)), pa.int32())
-        kept = [k for k, name in enumerate(batch.schema.names) if name != "tokens"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(size, pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(term[first], pa.int64())), pa.ListArray.from_arrays(bounds, pa.array(tf, pa.int32()))], names=[*[batch.schema.names[k] for k in kept], "dl", "terms", "tfs"])
+class Codes(dict):
+    """Codes of terms as ``code`` gives them in the JVM, each hashed once; some hundred MB at most."""
+
+    def __missing__(self, term: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        found = self[term] = xxhash.xxh64_intdigest(term.encode(), 42)
+        return found
+
+    def of_word(self, word: str) -> list[int]:
+        """A word and its inner bigrams; a provision mark is one term."""
+        if len(word) <= 2 or word[0] == "§":
+            return [self[word]]
+        return [self[word], *map(self.__getitem__, map("".join, zip(word, word[1:], strict=False)))]
+
+
+def _count():
+    """Arrow function: distinct terms of each text and their counts. Each distinct word of a batch is cut and hashed once."""
+    codes = Codes()
+    find, marks = re.compile(WORDS).findall, re.compile(ARTICLES.replace(r"\d", "[0-9]")).findall
+
+    def run(batches):
+        for batch in batches:
+            words: list[str] = []
+            size = []
+            for text in batch.column("text").to_pylist():
+                own = find(text or "")
+                if text and "제" in text:
+                    own += ["§" + a for a in marks(text)]
+                words += own
+                size.append(len(own))
+            coded = pa.array(words, pa.large_string()).dictionary_encode()
+            lists = list(map(codes.of_word, coded.dictionary.to_pylist()))
+            width = np.fromiter(map(len, lists), np.int64, len(lists))
+            vocabulary, place = np.unique(np.fromiter(chain.from_iterable(lists), np.uint64, width.sum()).view(np.int64), return_inverse=True)
+            word = coded.indices.to_numpy().astype(np.int64)
+            begin, reach = (np.cumsum(width) - width)[word], width[word]
+            at = np.repeat(begin - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
+            key = np.repeat(np.repeat(np.arange(len(size)), size), reach) * max(1, len(vocabulary)) + place[at]
+            dl = np.bincount(key // max(1, len(vocabulary)), minlength=len(size))
+            key, tf = np.unique(key, return_counts=True)
+            row, term = np.divmod(key, max(1, len(vocabulary)))
+            bounds = pa.array(np.searchsorted(row, np.arange(len(size) + 1)), pa.int32())
+            kept = [k for k, name in enumerate(batch.schema.names) if name != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(dl, pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(vocabulary[term], pa.int64())), pa.ListArray.from_arrays(bounds, pa.array(tf, pa.int32()))], names=[*[batch.schema.names[k] for k in kept], "dl", "terms", "tfs"])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -70,9 +107,9 @@ def code(term: Column) -> Column:
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> Corpus:
     """The coded corpus. Null texts have no terms; repeated rows are documents of their own."""
-    tokens = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), *carry, F.transform(tokenize(F.col(text)), code).alias("tokens"))
+    tokens = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), *carry, F.col(text).alias("text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields[:-1])
-    return measured(settle(tokens.mapInArrow(_count, f"{kept}, dl long, terms array<long>, tfs array<int>"), "corpus"))
+    return measured(settle(tokens.mapInArrow(_count(), f"{kept}, dl long, terms array<long>, tfs array<int>"), "corpus"))
 
 
 def frequencies(corpus: Corpus, only: DataFrame | None = None) -> DataFrame:

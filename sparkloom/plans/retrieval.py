@@ -235,13 +235,6 @@ def _(spark, sf_dir):
 
 
 @query("prj01_evidence", f"""with {LEXICAL}, {BM25.format(n='s', k1=1.5, b=0.75, k=3)}
-select qid, rank, id, d.source || ' ' || d.lang as citation, substr(d.text, 1, 80) as excerpt, round(score, 4) as score from s_r join documents d on d.doc_id = id""")
-def _(spark, sf_dir):
-    hits = bm25_ranked(spark, sf_dir, 3).join(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "lang", F.substring("text", 1, 80).alias("excerpt")), "id")
-    return hits.select("qid", F.col("rank").cast("long").alias("rank"), "id", F.concat_ws(" ", "source", "lang").alias("citation"), "excerpt", F.round("score", 4).alias("score"))
-
-
-@query("prj01_whole_evidence", f"""with {LEXICAL}, {BM25.format(n='s', k1=1.5, b=0.75, k=3)}
 select qid, rank, id, d.source || ' ' || d.lang as citation, d.text as excerpt, round(score, 4) as score from s_r join documents d on d.doc_id = id""")
 def _(spark, sf_dir):
     hits = bm25_ranked(spark, sf_dir, 3).join(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "lang", F.col("text").alias("excerpt")), "id")

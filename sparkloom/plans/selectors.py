@@ -137,15 +137,7 @@ def _(spark, sf):
     return cells.join(good.groupBy("cid").agg(F.count_distinct("qid").alias("hit")), "cid", "left").select("cid", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
-@query("txt32_prompt_context", f"""with {TOP} select qid, string_agg('[' || rank || '] ' || d.source || ': ' || substr(d.text, 1, 40), chr(10) order by rank) as context from a_r join documents d on d.doc_id = id where rank <= 3 group by qid""")
-def _(spark, sf):
-    hits = bm25_ranked(spark, sf, 20).where("rank <= 3").join(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", F.substring("text", 1, 40).alias("head")), "id")
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "source", F.lit(": "), "head")
-    listed = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
-    return hits.groupBy("qid").agg(F.array_join(F.transform(listed, lambda s: s["line"]), "\n").alias("context"))
-
-
-@query("txt32_whole_context", f"""with {TOP} select qid, string_agg('[' || rank || '] ' || d.source || ': ' || d.text, chr(10) order by rank) as context from a_r join documents d on d.doc_id = id where rank <= 3 group by qid""")
+@query("txt32_prompt_context", f"""with {TOP} select qid, string_agg('[' || rank || '] ' || d.source || ': ' || d.text, chr(10) order by rank) as context from a_r join documents d on d.doc_id = id where rank <= 3 group by qid""")
 def _(spark, sf):
     hits = bm25_ranked(spark, sf, 20).where("rank <= 3").join(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text"), "id")
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "source", F.lit(": "), "text")
@@ -201,14 +193,15 @@ def _(spark, sf):
 CHUNK = "doc_id long, source string, text string"
 
 
-@query("src01_src05_snk01_json_round_trip", "select doc_id, source, md5(text) as h, (case when lang = 'en' then 0 else 1 end) as input from documents where lang in ('en', 'fr')")
+@query("src01_src05_snk01_json_round_trip", "select doc_id, source, md5(text) as h, (case when lang = 'en' then 0 else 1 end) as input from documents")
 def _(spark, sf):
     """Two exports as JSON Lines in the shared folder, scanned and merged again."""
     folder = shared_folder(spark)
     docs = t(spark, sf, "documents")
     paths = []
-    for lang in ("en", "fr"):
-        paths.append(f"{folder}/export-{lang}-{uuid.uuid4().hex}")
-        jsonl.export_ordered(docs.where(F.col("lang") == lang).select("doc_id", "source", "text"), paths[-1], ["doc_id"], tasks=4)
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for name, own in (("en", english), ("rest", ~english)):
+        paths.append(f"{folder}/export-{name}-{uuid.uuid4().hex}")
+        jsonl.export_ordered(docs.where(own).select("doc_id", "source", "text"), paths[-1], ["doc_id"], tasks=4)
     merged = jsonl.merge_inputs([jsonl.scan_all(spark, [p, p + "-absent"], CHUNK) for p in paths], "doc_id")
     return merged.select("doc_id", "source", F.md5("text").alias("h"), "input")

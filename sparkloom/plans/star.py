@@ -144,16 +144,12 @@ def _(spark, sf):
     return t(spark, sf, "customer").join(t(spark, sf, "orders"), F.expr("o_custkey = c_custkey"), "left_anti").agg(F.count("*").alias("orphans"))
 
 
-@query("join27_align", "select l.doc_id, row_number() over (order by l.doc_id)::bigint as place, d.lang from labels l join documents d using (doc_id)")
+@query("join27_align", "select l.doc_id, l.quality, row_number() over (order by coalesce(d.lang, ''), l.doc_id)::bigint - 1 as place from labels l join documents d using (doc_id)")
 def _(spark, sf):
-    """Places over the whole table: rows are dealt by range, numbered within a range, and ranges by the sizes of those before."""
-    rows = t(spark, sf, "labels").join(t(spark, sf, "documents"), "doc_id").select("doc_id", "lang")
-    dealt = settle(rows.repartitionByRange(64, "doc_id").withColumn("part", F.spark_partition_id()), "aligned")
-    # one row a range
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "ahead")
-    own = F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))
-    return dealt.join(F.broadcast(parts), "part").select("doc_id", (own + F.col("ahead")).alias("place"), "lang")
+    """Labels in the order of a reference that has the same keys: their documents by language and id."""
+    labels = t(spark, sf, "labels").select("doc_id", "quality")
+    reference = t(spark, sf, "documents").join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
+    return audit.align(labels, reference, "doc_id", ["lang", "doc_id"])
 
 
 @query("agg01_duplicates", "select l_partkey, l_suppkey, l_quantity, l_returnflag, count(*)::bigint as n from lineitem group by all having count(*) > 1")
@@ -231,26 +227,50 @@ def _(spark, sf):
     return per.groupBy("o_orderpriority", "n_lines").agg(F.count("*").alias("n"), F.bool_or("late").alias("any_late"), F.bool_and("late").alias("all_late"))
 
 
-@query("agg26_reason_counts", "select split_part(url, '://', -1)[1:4] as reason, count(*)::bigint as n from pages group by 1")
+@query("agg26_reason_counts", "select split_part(m, ': ', -1) as reason, count(*)::bigint as n from (select 'row ' || coalesce(doc_id::varchar, '') || ': ' || coalesce(source, '') || ': ' || case when text is null then 'no text' when length(text) < 200 then 'short' when lang is null then 'no language' else 'taken as ' || lang end as m from documents) group by 1")
 def _(spark, sf):
-    return t(spark, sf, "pages").groupBy(F.substring(F.substring_index("url", "://", -1), 1, 4).alias("reason")).agg(F.count("*").alias("n"))
+    """Messages of a scan, counted by the reason behind their last colon."""
+    why = F.when(F.col("text").isNull(), "no text").when(F.length("text") < 200, "short").when(F.col("lang").isNull(), "no language").otherwise(F.concat(F.lit("taken as "), "lang"))
+    message = F.concat(F.lit("row "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(": "), F.coalesce("source", F.lit("")), F.lit(": "), why)
+    return t(spark, sf, "documents").groupBy(F.substring_index(message, ": ", -1).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def _digest_sql(name: str, cols: list[str]) -> str:
-    parts = ", ".join(f"coalesce('=' || {c}::varchar, '~')" for c in sorted(cols))
-    return f"select count(*)::bigint as n, sum(('0x' || substr(sha256(concat_ws(chr(31), {parts})), 1, 13))::bigint)::varchar as digest from {name}"
+    parts = ", ".join(f"coalesce(strlen({c}::varchar) || '=' || {c}::varchar, '~')" for c in sorted(cols))
+    words = ", ".join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::bigint)::varchar" for k in range(8))
+    return f"select count(*)::bigint as n, sha256(concat_ws(',', {words})) as digest from (select sha256(concat({parts})) as h from {name})"
 
 
-@query("agg27_digest", _digest_sql("nation", ["n_nationkey", "n_name", "n_regionkey"]))
+_DOCS = ["doc_id", "lang", "n_chars", "source", "text"]
+
+
+@query("agg27_digest", _digest_sql("documents", _DOCS))
+def _(spark, sf):
+    return audit.digest(t(spark, sf, "documents"))
+
+
+@query(
+    "agg28_agg29_index_content_hash",
+    """select count(*)::bigint as n, sha256(concat_ws(',', """
+    + ", ".join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::bigint)::varchar" for k in range(8))
+    + """)) as digest from (
+  select sha256(strlen(r) || ':' || r || list_aggregate(list_transform(embedding, lambda c: printf('%.8e', c::double)), 'string_agg', ',')) as h
+  from (select *, '[' || coalesce(vec_id::varchar, 'null') || ',' || coalesce(label::varchar, 'null') || ']' as r from embeddings))""",
+)
 def _(spark, sf):
-    return audit.digest(t(spark, sf, "nation"))
+    """All records and vectors of an index as one digest, after their dimension and values were checked."""
+    rows = t(spark, sf, "embeddings").select(F.array("vec_id", "label").alias("record"), "embedding")
+    return audit.index_hash(rows, F.to_json("record"), "embedding", 64)
 
 
-@query("mrg11_verify_digests", "with a as (" + _digest_sql("region", ["r_regionkey", "r_name"]) + "), b as (" + _digest_sql("(select * from region where r_regionkey > 0)", ["r_regionkey", "r_name"]) + ") select a.n, b.n as other_n, a.digest = b.digest as equal from a, b")
+@query("mrg11_verify_digests", "with a as (" + _digest_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus"]) + "), b as (" + _digest_sql("(select o_orderkey, o_custkey, case when o_orderkey = 1 then 'X' else o_orderstatus end as o_orderstatus from orders)", ["o_orderkey", "o_custkey", "o_orderstatus"]) + ") select 'same' as name, a.n, true as equal from a union all select 'changed', b.n, a.digest = b.digest from a, b")
 def _(spark, sf):
-    r = t(spark, sf, "region")
-    a, b = audit.digest(r), audit.digest(r.where("r_regionkey > 0"))
-    return a.crossJoin(b.select(F.col("n").alias("other_n"), F.col("digest").alias("other"))).select("n", "other_n", (F.col("digest") == F.col("other")).alias("equal"))
+    """A manifest of one digest against the table in another order, and against the table with one value changed."""
+    rows = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    want = audit.digest(rows).first()["digest"]
+    other = rows.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == 1, "X").otherwise(F.col("o_orderstatus")))
+    named = lambda df, name: audit.digest(df).select(F.lit(name).alias("name"), "n", (F.col("digest") == want).alias("equal"))
+    return named(rows.repartition("o_custkey"), "same").union(named(other, "changed"))
 
 
 @query("agg30_next_version", "select c_custkey, coalesce(max(year(o_orderdate)), 0)::bigint + 1 as next_version from customer left join orders on o_custkey = c_custkey group by 1")
@@ -291,11 +311,23 @@ def _(spark, sf):
     return t(spark, sf, "documents").where(matches({"$and": [{"lang": {"$in": ["en", "de"]}}, {"source": {"$nin": ["src4"]}}]})).select("doc_id", "source")
 
 
-@query("flt03_query_dependent_exclusion", "select item_id, doc_id from benchmark join documents on doc_id % 50 = item_id where contains(text_1, 'the') or source not in ('src1', 'src5')".replace("benchmark", "(select item_id, text as text_1 from benchmark)"))
+def _pool(spark, sf, out):
+    """For each question the documents that stay in its pool when all of the sources ``out`` leave it; a null source stays."""
+    docs = t(spark, sf, "documents")
+    by_source = docs.groupBy("source").agg(F.count("*").alias("n"))
+    gone = t(spark, sf, "benchmark").select("item_id", F.explode(out).alias("source")).join(by_source, "source").groupBy("item_id").agg(F.sum("n").alias("gone"))
+    whole = docs.agg(F.count("*").alias("n_all"))
+    counted = t(spark, sf, "benchmark").select("item_id").join(gone, "item_id", "left").crossJoin(F.broadcast(whole))  # one row
+    return counted.select("item_id", (F.col("n_all") - F.coalesce("gone", F.lit(0))).alias("n_pool"), F.coalesce("gone", F.lit(0)).alias("n_excluded"))
+
+
+_POOL = "select item_id, count(*) filter (not excluded)::bigint as n_pool, count(*) filter (excluded)::bigint as n_excluded from (select item_id, {} as excluded from (select item_id, text as q from benchmark), documents) group by item_id"
+
+
+@query("flt03_query_dependent_exclusion", _POOL.format("not contains(q, 'the') and coalesce(source in ('src1', 'src5'), false)"))
 def _(spark, sf):
-    items = t(spark, sf, "benchmark").select("item_id", F.when(F.contains("text", F.lit("the")), F.array().cast("array<string>")).otherwise(F.array(F.lit("src1"), F.lit("src5"))).alias("out"))
-    docs = t(spark, sf, "documents").select("doc_id", "source", (F.col("doc_id") % 50).alias("item_id"))
-    return docs.join(items, "item_id").where(~F.array_contains("out", F.col("source"))).select("item_id", "doc_id")
+    """Two sources leave the whole pool of a question unless it has the word that asks for them."""
+    return _pool(spark, sf, F.when(F.contains("text", F.lit("the")), F.array().cast("array<string>")).otherwise(F.array(F.lit("src1"), F.lit("src5"))))
 
 
 @query("flt04_any_word", "select doc_id from documents where contains(text, 'idiot') or contains(text, 'License')")
@@ -308,16 +340,15 @@ def _(spark, sf):
     return t(spark, sf, "documents").where(F.rlike("text", F.lit(r"[0-9]{3}\.[0-9]{1,3}\."))).select("doc_id")
 
 
-@query("flt07_guarded_exclusion", "select item_id, doc_id from (select item_id, text as q from benchmark) join documents on doc_id % 40 = item_id where contains(q, 'of') or not coalesce(source in ('src2'), false)")
+@query("flt07_guarded_exclusion", _POOL.format("not contains(q, 'of') and coalesce(source in ('src2'), false)"))
 def _(spark, sf):
-    items = t(spark, sf, "benchmark").select("item_id", F.contains("text", F.lit("of")).alias("guard"))
-    docs = t(spark, sf, "documents").select("doc_id", "source", (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(items, "item_id").where(F.col("guard") | matches({"source": {"$nin": ["src2"]}})).select("item_id", "doc_id")
+    """One source leaves the whole pool of each question that the guard does not let through."""
+    return _pool(spark, sf, F.when(F.contains("text", F.lit("of")), F.array().cast("array<string>")).otherwise(F.array(F.lit("src2"))))
 
 
-@query("flt08_split_by_type", "select lang, count(*)::bigint as n, sum(n_chars)::bigint as chars from documents where lang in ('en', 'fr') group by 1")
+@query("flt08_split_by_type", "select coalesce(lang, 'none') as kind, count(*)::bigint as n, sum(n_chars)::bigint as chars from documents group by 1")
 def _(spark, sf):
-    return t(spark, sf, "documents").where(F.col("lang").isin("en", "fr")).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return t(spark, sf, "documents").groupBy(F.coalesce("lang", F.lit("none")).alias("kind")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("flt09_filter_counts", "select count(*)::bigint as n_in, count_if(lang = 'en')::bigint as n_out, count_if(lang is distinct from 'en')::bigint as dropped from documents")
@@ -355,16 +386,11 @@ def _(spark, sf):
     return t(spark, sf, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"), "event_type")
 
 
-@query("prj06_prj07_prj08_chunk_fields", "select doc_id, '[' || source || ' | ' || lang || '] ' || substr(trim(text), 1, 40) as body, regexp_replace(source || '-' || lang || '-' || doc_id, '\\s+', '', 'g') as chunk_id, greatest(1, length(text) // 2)::bigint as tokens from documents")
+@query("prj06_prj07_prj08_chunk_fields", "select doc_id, '[' || source || ' | ' || lang || '] ' || trim(text) as body, regexp_replace(source || '-' || lang || '-' || doc_id, '\\s+', '', 'g') as chunk_id, greatest(1, length(text) // 2)::bigint as tokens from documents")
 def _(spark, sf):
     from ..functions.text import token_estimate
 
-    return t(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), "source", F.lit(" | "), "lang", F.lit("] "), F.substring(F.trim("text"), 1, 40)).alias("body"), F.regexp_replace(F.concat_ws("-", "source", "lang", F.col("doc_id").cast("string")), r"\s+", "").alias("chunk_id"), token_estimate(F.col("text")).alias("tokens"))
-
-
-@query("prj06_whole_body", "select doc_id, '[' || source || ' | ' || lang || '] ' || trim(text) as body from documents")
-def _(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), "source", F.lit(" | "), "lang", F.lit("] "), F.trim("text")).alias("body"))
+    return t(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), "source", F.lit(" | "), "lang", F.lit("] "), F.trim("text")).alias("body"), F.regexp_replace(F.concat_ws("-", "source", "lang", F.col("doc_id").cast("string")), r"\s+", "").alias("chunk_id"), token_estimate(F.col("text")).alias("tokens"))
 
 
 # ---- merges --------------------------------------------------------------------
@@ -404,9 +430,10 @@ def _(spark, sf):
     return merge.checklist_sync(p.where("p_partkey % 2 = 0").select("code", state.alias("state")), p.where("p_partkey % 3 = 0"), "code")
 
 
-@query("mrg19_resume_checkpoint", "select user_id, arg_max(event_type, event_id) as last_type, max(event_id) as last_id from events where value > 10 group by 1")
+@query("mrg19_resume_checkpoint", "select user_id, event_type, arg_max(value, event_id) as last_value, max(event_id) as last_id from events group by all")
 def _(spark, sf):
-    return t(spark, sf, "events").where("value > 10").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.max("event_id").alias("last_id"))
+    """The last row of each key in each version of the code (event_type); a resumed run takes those of its own version."""
+    return t(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("last_value"), F.max("event_id").alias("last_id"))
 
 
 @query("mrg20_reconcile_readings", "select user_id, case when count(distinct floor(value / 50)) = 1 and count(distinct event_type) >= 2 then 'confirmed' else 'review' end as state from events group by 1")
@@ -426,12 +453,14 @@ def _(spark, sf):
     return t(spark, sf, "orders").where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_totalprice")).alias("latest"))
 
 
-@query("rnk23_first_pages", "select page_id, url from pages order by page_id limit 4")
+@query("rnk23_first_pages", "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn, role) as r from conversations) where r <= 4")
 def _(spark, sf):
-    return t(spark, sf, "pages").select("page_id", "url").orderBy("page_id").limit(4)
+    """The first four pages of every session (turns of a conversation), by page and then by id."""
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role"))
+    return t(spark, sf, "conversations").withColumn("r", first).where("r <= 4").select("conv_id", "turn", "role")
 
 
-@query("rnk25_parse_and_dedupe", "with g as (select source, lang, count(distinct n_chars % 3) as kinds, max((doc_id, n_chars)) as best from documents where n_chars > 100 group by all) select source, lang, kinds::bigint as kinds, best[1] as doc_id from g")
+@query("rnk25_parse_and_dedupe", "with g as (select source, lang, count(distinct n_chars % 3) as kinds, max((doc_id, n_chars)) as best from documents group by all) select source, lang, kinds::bigint as kinds, best[1] as doc_id from g")
 def _(spark, sf):
-    g = t(spark, sf, "documents").where("n_chars > 100").groupBy("source", "lang").agg(F.count_distinct(F.col("n_chars") % 3).alias("kinds"), F.max(F.struct("doc_id", "n_chars")).alias("best"))
+    g = t(spark, sf, "documents").groupBy("source", "lang").agg(F.count_distinct(F.col("n_chars") % 3).alias("kinds"), F.max(F.struct("doc_id", "n_chars")).alias("best"))
     return g.select("source", "lang", "kinds", F.col("best.doc_id").alias("doc_id"))

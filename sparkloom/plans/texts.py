@@ -33,9 +33,26 @@ def _(spark, sf):
     return t(spark, sf, "pages").select("page_id", F.size(lines).cast("long").alias("n"), F.get(lines, F.lit(0)).alias("first_line"))
 
 
-@query("str04_extract_body", f"select page_id, array_to_string(l[2:4], ' / ') as body from (select page_id, {LINES} as l from pages)")
+#: A notice around each document: a menu, the start, the lines, the date behind its mark, counters, and what follows the end.
+NOTICE = "list_concat(['menu', 'login'], ['Notice: ' || coalesce(source, '')], string_split(text, chr(10)), ['등록일', '2024. ' || (doc_id % 12 + 1) || '. 7.', '조회수 12', 'Next: other'], ['tail'])"
+
+
+@query(
+    "str04_extract_body",
+    f"""with n as (select doc_id, {NOTICE} as ls from documents where text is not null),
+p as (select *, list_position(list_transform(ls, lambda l: contains(l, 'Notice')), true) as s from n),
+b as (select *, ls[s:s + 399] as body from p),
+e as (select *, list_position(list_transform(body, lambda l, i: i > 1 and contains(l, 'Next:')), true) as z from b)
+select doc_id, md5(array_to_string(list_filter(case when z > 0 then body[:z - 1] else body end, lambda l: length(l) > 3 and not contains(l, '조회수')), chr(10))) as body,
+  case when z > 0 then '2024-' || lpad((doc_id % 12 + 1)::varchar, 2, '0') || '-07' else '' end as published from e""",
+)
 def _(spark, sf):
-    return t(spark, sf, "pages").select("page_id", F.array_join(F.slice(tx.html_lines(F.col("html")), 2, 3), " / ").alias("body"))
+    """The body of a notice between its marks, without counters, and its date."""
+    docs = t(spark, sf, "documents").where("text is not null")
+    date = F.concat(F.lit("2024. "), (F.col("doc_id") % 12 + 1).cast("string"), F.lit(". 7."))
+    lines = F.concat(F.array(F.lit("menu"), F.lit("login"), F.concat(F.lit("Notice: "), F.coalesce("source", F.lit("")))), F.split("text", "\n"), F.array(F.lit("등록일"), date, F.lit("조회수 12"), F.lit("Next: other"), F.lit("tail")))
+    found = docs.select("doc_id", lines.alias("lines")).select("doc_id", tx.notice_body(F.col("lines"), "Notice", ["Next:"], "등록일", ["조회수"]).alias("found"))
+    return found.select("doc_id", F.md5("found.body").alias("body"), F.col("found.published").alias("published"))
 
 
 @query("str06_header_fields", """select page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang, regexp_extract(url, '([0-9]+)', 1) as number from pages""")
@@ -115,9 +132,10 @@ def _(spark, sf):
     return rows.select("conv_id", "turn", (F.size(fresh) == 0).alias("safe"))
 
 
-@query("str36_title_overlap", "select item_id, len(list_filter(list_distinct(string_split(text, ' ')), lambda w: contains(substr(text, 1, 60), substr(w, 1, 2))))::bigint as n from benchmark")
+@query("str36_title_overlap", "select item_id, len(list_filter(list_distinct(string_split(text, ' ')), lambda w: contains(regexp_extract(text, '^[^.?!]*'), substr(w, 1, 2))))::bigint as n from benchmark")
 def _(spark, sf):
-    own = F.filter(F.array_distinct(F.split("text", " ")), lambda w: F.contains(F.substring(F.col("text"), 1, 60), F.substring(w, 1, 2)))
+    """Words of a question that are, with their first two letters, in its title: the whole first sentence."""
+    own = F.filter(F.array_distinct(F.split("text", " ")), lambda w: F.contains(F.regexp_extract("text", r"^[^.?!]*", 0), F.substring(w, 1, 2)))
     return t(spark, sf, "benchmark").select("item_id", F.size(own).cast("long").alias("n"))
 
 
@@ -167,9 +185,9 @@ def _(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("([0-9][0-9,]*)"), 1), lambda x: F.replace(x, F.lit(","), F.lit(""))))).alias("numbers"))
 
 
-@query("jsn02_digest", "select event_id, sha256('{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}') as h from events where user_id is not null and event_type is not null")
+@query("jsn02_digest", "select event_id, sha256('{\"event_type\":' || coalesce('\"' || event_type || '\"', 'null') || ',\"user_id\":' || coalesce(user_id::varchar, 'null') || '}') as h from events")
 def _(spark, sf):
-    return t(spark, sf, "events").where("user_id is not null and event_type is not null").select("event_id", F.sha2(F.to_json(F.struct("event_type", "user_id")), 256).alias("h"))
+    return t(spark, sf, "events").select("event_id", F.sha2(F.to_json(F.struct("event_type", "user_id"), {"ignoreNullFields": "false"}), 256).alias("h"))
 
 
 @query("jsn03_json_object", "select event_id, json_extract_string(regexp_extract(props, '\\{.*\\}'), '$.k') as k from events")

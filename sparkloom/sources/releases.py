@@ -8,9 +8,10 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.audit import multiset
 from . import strict_json
 
 #: Schemas of a manifest and of a pointer; names of streams; rows of a file at most.
@@ -81,16 +82,6 @@ class Files:
         self.fs.delete(self.at(path), True)
 
 
-def multiset(lines: Column) -> list[Column]:
-    """Count, and a digest of lines that does not depend on their order: the eight words of each line's SHA-256, summed one by one.
-
-    Repeated lines count each time; a border moved between lines changes the hashes of both.
-    """
-    digest = F.sha2(lines, 256)
-    words = [F.sum(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")) for k in range(8)]
-    return [F.count("*").alias("count"), F.sha2(F.concat_ws(",", *[F.coalesce(w, F.lit(0)).cast("string") for w in words]), 256).alias("digest")]
-
-
 def _file_table(spark: SparkSession, folder: str) -> DataFrame:
     """Path below ``folder``, SHA-256 and size of each file of a release's streams; files are of FILE_ROWS rows at most."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{folder}/streams")
@@ -99,8 +90,8 @@ def _file_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _digest(table: DataFrame) -> dict:
-    row = table.agg(*multiset(F.concat_ws("\x1f", "path", "sha256", "bytes"))).first()
-    return {"count": row["count"], "digest": row["digest"]}
+    row = table.agg(*multiset(F.sha2(F.concat_ws("\x1f", "path", "sha256", "bytes"), 256))).first()
+    return {"count": row["n"], "digest": row["digest"]}
 
 
 def _stream_digests(spark: SparkSession, folder: str, names: list[str]) -> dict:
@@ -108,7 +99,7 @@ def _stream_digests(spark: SparkSession, folder: str, names: list[str]) -> dict:
     there = [name for name in names if Files(spark, folder).exists(f"{folder}/streams/{name}")]
     if there:
         lines = spark.read.text([f"{folder}/streams/{name}" for name in there]).select("value", F.element_at(F.split(F.element_at(F.split(F.col("_metadata.file_path"), "/streams/"), -1), "/"), 1).alias("stream"))
-        out |= {r["stream"]: {"count": r["count"], "digest": r["digest"]} for r in lines.groupBy("stream").agg(*multiset(F.col("value"))).collect()}
+        out |= {r["stream"]: {"count": r["n"], "digest": r["digest"]} for r in lines.groupBy("stream").agg(*multiset(F.sha2("value", 256))).collect()}
     return out
 
 

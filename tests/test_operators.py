@@ -98,11 +98,21 @@ def test_queries_match_sql(spark, name):
     assert rows(got.select(*cols).collect()) == rows(want.select(", ".join(cols)).fetchall())
 
 
-@pytest.mark.parametrize("name", ["prj06_whole_body", "txt32_whole_context", "prj01_whole_evidence"])
+@pytest.mark.parametrize("name", ["prj06_prj07_prj08_chunk_fields", "txt32_prompt_context", "prj01_evidence"])
 def test_whole_texts_match_sql(spark, name):
     test_queries_match_sql(spark, name)
 
 
+def test_coded_corpus_has_the_terms_of_the_tokeniser(spark):
+    texts = ["제3조의2 확정일자 abc 12 漢字 abc", "", None, "제12조제3항과 제4조 Ｆ ABCdef123나다라", "ab " * 500 + "é漢字漢字漢字", "x\u0663 조의"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = docs.select("doc_id", F.explode(tx.tokenize(F.col("text"))).alias("t")).groupBy("doc_id", lexical.code(F.col("t")).alias("term")).agg(F.count("*").alias("tf"))
+    corpus = lexical.index(docs).rows
+    coded = corpus.select("id", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("id", "t.terms", "t.tfs")
+    assert sorted(map(tuple, coded.collect())) == sorted(map(tuple, plain.collect()))
+    assert {r.id: r.dl for r in corpus.collect()} == {r.doc_id: r.n for r in docs.select("doc_id", F.size(tx.tokenize(F.col("text"))).alias("n")).collect()}
+
+
 def test_windows_of_texts_of_any_length(spark, tmp_path):
     import __spark_entry__ as entry
 
@@ -116,3 +126,34 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_index_hash_frames_records_and_checks_vectors(spark):
+    make = lambda rows: spark.createDataFrame(rows, "id string, v array<float>")
+    hash_of = lambda rows: audit.index_hash(make(rows), F.col("id"), "v", 2).first().digest
+    rows = [("a", [0.1, 2.0]), ("b", [3.0, -0.5])]
+    assert hash_of(rows) == hash_of(rows[::-1]) != hash_of(rows + rows[:1])
+    assert len({hash_of(r) for r in (rows, [("a0", [1.0, 2.0]), rows[1]], [("a", [0.1, 2.0000002])] + rows[1:], [("b", rows[0][1]), ("a", rows[1][1])])}) == 4
+    for bad in (None, [1.0], [1.0, float("nan")], [1.0, float("inf")], [1.0, None]):
+        with pytest.raises(Exception, match="vectors need 2 finite components"):
+            hash_of([*rows, ("c", bad)])
+
+
+def test_align_refuses_other_keys(spark):
+    make = lambda *keys: spark.createDataFrame([(k, str(k)) for k in keys], "k long, v string")
+    assert {(r.k, r.place) for r in audit.align(make(3, 1, 2), make(2, 3, 1).withColumn("o", -F.col("k")), "k", ["o"]).collect()} == {(3, 0), (2, 1), (1, 2)}
+    for rows, reference, message in ((make(1, 1), make(1), "1: twice in the rows"), (make(1), make(1, 2, 2), "2: twice in the reference"), (make(1, 4), make(1), "4: not in the reference"), (make(1), make(1, 5), "5: not in the rows")):
+        with pytest.raises(ValueError, match=message):
+            audit.align(rows, reference, "k", ["k"])
+
+
+def test_notice_bodies(spark):
+    def body(*lines):
+        df = spark.createDataFrame([(list(lines),)], "lines array<string>")
+        r = df.select(tx.notice_body(F.col("lines"), "start", ["end", "stop"], "date", ["noise"], 6).alias("f")).first().f
+        return r.body, r.published
+
+    assert body("menu", "start end", "text one", "abc", "date 2024. 3. 9.", "noise 12", "the end", "tail") == ("start end\ntext one\ndate 2024. 3. 9.", "2024-03-09")
+    assert body("start", "date", "x 2024-10-11 y", "more") == ("start\ndate\nx 2024-10-11 y\nmore", "2024-10-11")
+    assert body("start", "date", "nothing", "2024-10-11", "5555", "6666", "7777") == ("start\ndate\nnothing\n2024-10-11\n5555\n6666", "")
+    assert body("menu", "the end") == ("", "") and body() == ("", "")
