@@ -190,6 +190,35 @@ def _(spark, sf):
     return g.join(s, "qid", "left").groupBy("qid").agg(F.count("*").alias("n_groups"), F.count_if(hit).alias("found"), F.bool_and(hit).alias("complete"))
 
 
+_STEP = """
+g{n} as (select qid, id, score, terms, row_number() over (partition by qid order by round(score + 5.0 * len(list_filter(terms, lambda t: not list_contains(covered, t))) / greatest(1, n_terms), 9) desc, score desc, id) as r, covered, n_terms from c{m}),
+p{n} as (select qid, {n} as place, id, score from g{n} where r = 1),
+c{n} as (select g.qid, g.id, g.score, g.terms, list_distinct(g.covered || b.terms) as covered, g.n_terms from g{n} g join (select qid, terms from g{n} where r = 1) b using (qid) where g.r > 1)"""
+
+
+@query(
+    "rnk21_cover_query",
+    f"""with {TOP}, {BM25.format(n="x", k1=1.5, b=0.25, k=20)},
+h as (select a_r.qid, a_r.id, a_r.score, d.source as parent from a_r join documents d on d.doc_id = a_r.id join x_r on x_r.qid = a_r.qid and x_r.id = a_r.id),
+f as (select * from (select *, row_number() over (partition by qid, parent order by score desc, id) as r from h) where r = 1),
+z as (select qid, count(*) as n_terms from qt group by qid),
+c0 as (select f.qid, f.id, f.score, list(qt.term) as terms, []::varchar[] as covered, any_value(n_terms) as n_terms from f join posts on posts.id = f.id join qt on qt.qid = f.qid and qt.term = posts.term join z on z.qid = f.qid group by f.qid, f.id, f.score),
+{_STEP.format(n=1, m=0)}, {_STEP.format(n=2, m=1)}, {_STEP.format(n=3, m=2)}
+select qid, place::int as place, id, score from (from p1 union all from p2 union all from p3)""",
+)
+def _(spark, sf):
+    """Three documents a question that together hold most of its words: BM25 hits of two settings, one a source."""
+    corpus = corpus_of(spark, sf, carry=("source",))
+    near, wide = bm25_pair(spark, sf, corpus=corpus)
+    parents = corpus.rows.select("id", F.col("source").alias("parent"))
+    hits = near.select("qid", "id", "score").join(parents, "id")
+    terms = corpus.rows.select("id", F.explode("terms").alias("term"))
+    questions = asked(spark, sf).select("qid", "term")
+    held = near.select("qid", "id").join(questions, "qid").join(terms, ["id", "term"], "left_semi")
+    sizes = questions.groupBy("qid").agg(F.count("*").alias("n_terms"))
+    return selection.cover_query(hits, held, sizes, 3, 5.0, support=wide)
+
+
 CHUNK = "doc_id long, source string, text string"
 
 
