@@ -76,18 +76,25 @@ def marked_rows(docs: DataFrame, rows: DataFrame, how: str, key: str = "doc_id")
     return named.join(asked, [a, b], how).select(*[column(c) for c in docs.columns])
 
 
-def components(edges: DataFrame, vertex: str = "bigint") -> DataFrame:
+def narrow(rows: DataFrame, most: int | None) -> DataFrame:
+    """``rows`` in one task if they are at most ``most`` and that is no more than TASK_LINKS: their joins and groups then need no shuffle."""
+    return rows.coalesce(1) if most is not None and most <= TASK_LINKS else rows
+
+
+def components(edges: DataFrame, vertex: str = "bigint", most: int | None = None) -> DataFrame:
     """Connected components of undirected links ``(a, b)``, as ``(id, component)`` with the smallest id of each.
 
     Rounds of large-star and small-star, each a shuffle on one column. Links
     are kept as (larger end, smaller end). A round joins links to the minima of
     their ends; with many links the minima are written first, so that Spark can
     split the rows of a hub over several tasks. Links of one task, TASK_LINKS at
-    most, make their round in that task without a shuffle. Rows with a null or
-    equal ends link nothing. Vertices without a link are not returned.
+    most, make their round in that task without a shuffle; ``most`` is a bound of
+    their number, where the caller knows one. Rows with a null or equal ends link
+    nothing. Vertices without a link are not returned.
     """
     cur = settle(
-        edges.where("a is not null and b is not null and a <> b")
+        narrow(edges, most)
+        .where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(),
         "links",
@@ -101,23 +108,21 @@ def components(edges: DataFrame, vertex: str = "bigint") -> DataFrame:
         before = state
         tasks = -(-seen["n"] // TASK_LINKS)
 
-        def narrow(rows: DataFrame, n: int = tasks) -> DataFrame:
-            return rows.coalesce(1) if n == 1 else rows
-
         def minima(pairs: DataFrame, n: int = seen["n"]) -> DataFrame:
             low = pairs.groupBy("u").agg(F.min("v").alias("m"))
             return settle(low, "minima") if n > HUB_LINKS else low
 
-        links = narrow(cur)
+        links = narrow(cur, seen["n"])
         low = minima(links)
         # each larger neighbour of a vertex, and the vertex itself, goes to the smallest that the vertex sees
         up = links.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
-        large = settle(narrow(up.union(low.select("u", F.col("m").alias("v")))).distinct(), "links", tasks)
-        links = narrow(large)
+        large = settle(narrow(up.union(low.select("u", F.col("m").alias("v"))), seen["n"]).distinct(), "links", tasks)
+        links = narrow(large, seen["n"])
         small_low = minima(links)
         small = links.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = settle(narrow(small.union(small_low.select("u", F.col("m").alias("v")))).distinct(), "links", tasks)
+        after = settle(narrow(small.union(small_low.select("u", F.col("m").alias("v"))), seen["n"]).distinct(), "links", tasks)
         release(cur, low, large, small_low)
         cur = after
+    cur = narrow(cur, seen["n"])
     roots = cur.select(F.col("v").alias("id")).distinct()
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component"))).select(F.col("id").cast(vertex), F.col("component").cast(vertex))

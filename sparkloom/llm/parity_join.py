@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, components, release, settle, ship
+from .common import BROADCAST_ROWS, components, narrow, release, settle, ship
 from .shingles import mix, set_hash, shingle_sets, slices
 
 ship(__name__)
@@ -173,14 +173,16 @@ def _near_pairs(percent: int):
     return run
 
 
-def _open_groups(percent: int, few: int):
+def _open_groups(percent: int, few: int, joins: bool):
     """Pairs that would join components of a group, where sketches and failed tests do not rule them out; rows come sorted by group and chunks.
 
-    A member brings ``few`` pairs at most with each other component, which then counts as joined.
+    A member brings ``few`` pairs at most with each other component. With
+    ``joins`` that component then counts as joined, so its members bring none.
+    ``cut`` says whether a group has pairs that are not among them.
     """
 
     def flush(run: list) -> pa.RecordBatch:
-        out_a, out_b = [], []
+        out_a, out_b, cut = [], [], False
         if len(run) > 1:
             node, comp, size = (np.array([x[c] for x in run], np.int64) for c in ("node", "c", "n"))
             raw = [np.frombuffer(x["sketch"], np.uint64) for x in run]
@@ -197,17 +199,17 @@ def _open_groups(percent: int, few: int):
                     continue
                 apart = np.bitwise_count(bits[other] ^ bits[r]).sum(1)
                 other = other[apart <= most_apart(size[other], size[r], percent)]
-                met, first, times = np.unique(comp[other], return_index=True, return_counts=True)
-                if few > 1 and len(met):
+                met, times = np.unique(comp[other], return_counts=True)
+                if len(met):
                     order = np.argsort(comp[other], kind="stable")
                     begin = np.cumsum(times) - times
-                    other = other[np.concatenate([order[b : b + few] for b in begin])]
-                else:
-                    other = other[first]
-                comp[np.isin(comp, met)] = comp[r]
+                    other = other[np.concatenate([order[b : b + min(few, n)] for b, n in zip(begin, times, strict=True)])]
+                    cut = cut or joins or bool((times > few).any())
+                if joins:
+                    comp[np.isin(comp, met)] = comp[r]
                 out_a += [int(node[r])] * len(other)
                 out_b += node[other].tolist()
-        return pa.RecordBatch.from_arrays([pa.array([run[0]["key"]] * len(out_a) if run else [], pa.int64()), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["key", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([run[0]["key"]] * len(out_a) if run else [], pa.int64()), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array([cut] * len(out_a), pa.bool_())], names=["key", "a", "b", "cut"])
 
     def work(batches):
         run: list = []
@@ -298,16 +300,23 @@ def jaccard_rows(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
     both = left.join(sketches.select("node", F.col("n").alias("nb"), F.col("sketch").alias("sb")), "node")
     near = settle(both.select(F.col("center").alias("a"), F.col("node").alias("b"), "na", "nb", "sa", "sb").mapInArrow(_near_pairs(percent), "a long, b long"), "near")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        asked = settle(nodes.join(reps, "node").select("node", F.coalesce("first.doc_id", F.lit(0)).alias("key"), F.col("first.mark").alias("mark")), "asked")
+    def texts_of(pairs: DataFrame, most: int) -> DataFrame:
+        nodes = narrow(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), most).distinct()
+        named = (F.broadcast(nodes) if 2 * most <= BROADCAST_ROWS else nodes).join(reps, "node")
+        asked = settle(named.select("node", F.coalesce("first.doc_id", F.lit(0)).alias("key"), F.col("first.mark").alias("mark")), "asked")
         rows = plain.select(F.coalesce("doc_id", F.lit(0)).alias("key"), "mark", "text").join(_small(asked, BROADCAST_ROWS), ["key", "mark"]).select("node", "text")
-        out = settle(rows.dropDuplicates(["node"]), "texts")
+        # rows repeated as a whole bring their node's text as often
+        out = settle(rows, "texts")
+        if out.count() > asked.count():
+            once = settle(out.dropDuplicates(["node"]), "texts")
+            release(out)
+            out = once
         release(asked)
         return out
 
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Each center's text meets the texts of its pairs, so many at a time: a text travels once a pair, a center once a side."""
+        pairs = narrow(pairs, pairs.count())
         times = pairs.groupBy("a").agg(F.count("*").alias("m"))
         sides = pairs.join(times, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / SIDE)).cast("int").alias("side"))
         asked = sides.select("a", "side", F.lit(1).alias("role"), F.col("b").alias("node")).union(sides.select("a", "side", F.lit(0).alias("role"), F.col("a").alias("node")).distinct())
@@ -325,11 +334,14 @@ def jaccard_rows(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
 
     def connected(pairs: DataFrame, comp: DataFrame, few: int = 1) -> DataFrame:
         """Components once no pair is open; a few pairs of each component a round, most are settled by then."""
-        texts, mine = texts_of(pairs), []
+        most = pairs.count()
+        texts, mine = texts_of(pairs, most), []
         while True:
-            crossing = labelled(pairs, comp)
+            known = comp.count()
+            crossing = labelled(narrow(pairs, most), narrow(comp, known))
             for done in mine:
-                crossing = crossing.join(done.select("a", "b"), ["a", "b"], "left_anti")
+                crossing = crossing.join(narrow(done.select("a", "b"), most), ["a", "b"], "left_anti")
+            crossing = narrow(crossing, most)
             line = Window.partitionBy(F.greatest("ca", "cb")).orderBy(F.least("ca", "cb"), "a", "b")
             pick = settle(crossing.withColumn("r", F.row_number().over(line)).where(F.col("r") <= few).select("a", "b"), "pick")
             if pick.isEmpty():
@@ -337,14 +349,15 @@ def jaccard_rows(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
                 return comp
             mine.append(verified(pick, texts))
             tested.append(mine[-1])
-            after = settle(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(mine[-1].where("ok").select("a", "b"))), "components")
+            after = settle(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(mine[-1].where("ok").select("a", "b")), most=known + most), "components")
             release(pick, comp)
             comp, few = after, few * 8
 
-    comp = connected(near, settle(components(near.limit(0)), "components"))
+    comp = connected(near, settle(components(near.limit(0), most=0), "components"))
     # a group of two has met
     rest = settle(groups.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key"), "rest")
-    few = 2
+    # at first a few pairs stand for two components, then each member meets each other component by itself
+    few, joins = 2, True
     while True:
         mine = groups.select("key", "node").join(rest, "key", "left_semi").join(comp, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         parts = mine.groupBy("key", "c").agg(F.count("*").alias("m"))
@@ -362,17 +375,17 @@ def jaccard_rows(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
         failed = reduce(DataFrame.union, failed).groupBy("node").agg(F.collect_set("x").alias("failed"))
         run = ["key", "kind", "c0", "c1"]
         rows = dealt.join(sketches, "node").join(failed, "node", "left").select(*run, "side", "node", "c", "n", "sketch", "failed").repartition(*run).sortWithinPartitions(*run)
-        found = settle(rows.mapInArrow(_open_groups(percent, few), "key long, a long, b long"), "found")
+        found = settle(rows.mapInArrow(_open_groups(percent, few, joins), "key long, a long, b long, cut boolean"), "found")
         before = len(tested)
         comp = connected(found.select("a", "b").distinct(), comp, few=8)
         # a pair that stood for others in its group and failed: they meet in the next round
         wrong = [t.where("not ok").select("a", "b") for t in tested[before:]]
-        again = settle((found.join(reduce(DataFrame.union, wrong), ["a", "b"], "left_semi") if wrong else found.limit(0)).select("key").distinct(), "rest")
+        again = settle((found.where("cut").join(reduce(DataFrame.union, wrong), ["a", "b"], "left_semi") if wrong else found.limit(0)).select("key").distinct(), "rest")
         release(split, found, rest)
         rest = again
         if rest.isEmpty():
             break
-        few *= 16
+        few, joins = few * 32, False
 
     named = reps.join(comp, F.col("node") == F.col("id"), "left").select("node", "first", F.coalesce("component", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("least"))
