@@ -22,64 +22,85 @@ HIDDEN = frozenset("head script style noscript template select textarea iframe o
 HEAD = frozenset("title meta link base style script noscript template".split())
 #: Elements that hold no content. Fixed values.
 NEVER = frozenset("nav footer aside form button menu dialog".split())
+#: Headings; marks of what may stand around one.
+HEADINGS, AROUND = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("header banner".split())
 #: Elements without an end tag. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an element's start ends, up to the element that holds both. Fixed values.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tr td th thead tbody", "table"), "tfoot": ("tr td th thead tbody", "table")}
-#: Words in class, id or role that mark what is not content, and words that say nothing beside them. Fixed values.
+#: Words in class, id or role that mark what is not content, and words that say nothing beside them.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline cookie cookies comment comments consent copyright disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 PLAIN = frozenset("area bar block body bottom box button buttons center column container content form group inner item items left links list main module outer page panel post posts reader right row section site slot text thread top unit user wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Least ratio of a line of an article or main part; what a character of a link counts for.
-LEAST, LINK = 0.3, 0.1
+#: Least ratio of a line of an article or main part; what a character of a link counts for outside of them.
+LEAST, LINK = 0.1, 0.1
 _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def marked(value: str) -> bool:
-    """Whether one of the names in a class or id says that an element is no content: all its words are marks or plain, and one is a mark."""
+def marked(value: str) -> str:
+    """Whether one of the names in a class or id says that an element is no content: all its words are marks or plain, and one is a mark.
+
+    ``around`` if that mark only says that it may stand around a heading, ``noise`` for others, else empty.
+    """
+    found = ""
     for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
         words = [w for w in _SPLIT.split(name) if w]
-        if any(w in MARKS for w in words) and all(w in MARKS or w in PLAIN for w in words):
-            return True
-    return False
+        marks = [w for w in words if w in MARKS]
+        if marks and all(w in MARKS or w in PLAIN for w in words):
+            if not AROUND.issuperset(marks):
+                return "noise"
+            found = "around"
+    return found
 
 
-def is_noise(tag: str, attrs: list[tuple[str, str | None]], within: bool) -> bool:
-    """Whether an element's text counts for nothing; ``within``: inside an article or main part, where a plain header has the title."""
-    if tag in NEVER or tag == "header" and not within:
-        return True
-    if tag in ("html", "body", "main", "h1"):
-        return False
+def is_noise(tag: str, attrs: list[tuple[str, str | None]], within: bool, forms: bool = True) -> str:
+    """Whether an element's text counts for nothing, as ``marked`` says it.
+
+    ``within``: inside an article or main part, where a plain header has the
+    title. ``forms``: a form is no content.
+    """
+    if tag in NEVER and (forms or tag != "form") or tag == "header" and not within:
+        return "noise"
+    if tag in ("html", "body", "main", "h1") or tag == "form":
+        return ""
+    found = ""
     for name, value in attrs:
         if name in ("hidden",) or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
-            return True
+            return "noise"
         if name == "role" and value and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and value and marked(value):
-            return True
-    return False
+            return "noise"
+        if name in ("class", "id") and value:
+            kind = marked(value)
+            if kind == "noise":
+                return kind
+            found = found or kind
+    return found
 
 
 class Lines(HTMLParser):
     """Lines of text of a page: text, characters that count, tags, article or main part, and the run of sister blocks.
 
-    Text in links counts for little, text in elements that hold no content for
-    nothing. Memory grows with the page only.
+    Text in links counts for little outside of articles, text in elements that
+    hold no content for nothing; in an article, headings count in what only
+    stands around them. Memory grows with the page only.
     """
 
-    def __init__(self):
+    def __init__(self, forms: bool = True):
         super().__init__(convert_charrefs=True)
+        self.forms = forms
+        #: Characters that would count if forms did, and those of them in forms.
+        self.shown = self.formed = 0
         self.lines: list[tuple[str, float, int, int, tuple[int, bool, int]]] = []
         self.text: list[str] = []
         self.count = 0.0
         self.tags = 0
         self.where: tuple[int, bool, int] | None = None
         #: Open elements: name, whether noise; and how many of each name are open.
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, str]] = []
         self.held: Counter[str] = Counter()
         self.blocks: list[int] = [0]
-        self.seen = self.noise = self.hidden = self.main = self.region = 0
+        self.seen = self.noise = self.around = self.hidden = self.main = self.region = 0
 
     def end_line(self):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
@@ -103,10 +124,13 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        noise = is_noise(tag, attrs, bool(self.main))
+        noise = is_noise(tag, attrs, bool(self.main), self.forms)
+        if noise == "around" and not self.main:
+            noise = "noise"
         if noise:
             self.end_line()
-            self.noise += 1
+            self.noise += noise == "noise"
+            self.around += noise == "around"
         if tag in HIDDEN:
             self.hidden += 1
         if tag in ("article", "main"):
@@ -129,7 +153,8 @@ class Lines(HTMLParser):
         self.held[tag] -= 1
         if noise or tag in BLOCKS:
             self.end_line()
-        self.noise -= noise
+        self.noise -= noise == "noise"
+        self.around -= noise == "around"
         self.hidden -= tag in HIDDEN
         self.main -= tag in ("article", "main")
         if tag in BLOCKS:
@@ -167,11 +192,16 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if self.hidden:
             return
+        silent = bool(self.noise) or bool(self.around) and not any(self.held[h] for h in HEADINGS)
         if self.where is None and not data.isspace():
-            self.where = (self.blocks[-2] if len(self.blocks) > 1 else 0, bool(self.noise), self.region if self.main else 0)
+            self.where = (self.blocks[-2] if len(self.blocks) > 1 else 0, silent, self.region if self.main else 0)
         self.text.append(data)
-        if not self.noise:
-            self.count += len(data.strip()) * (LINK if self.held["a"] else 1)
+        size = len(data.strip())
+        if self.noise <= (self.held["form"] if self.forms else 0):
+            self.shown += size
+            self.formed += size if self.held["form"] else 0
+        if not silent:
+            self.count += size * (LINK if self.held["a"] and not self.main else 1)
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -194,6 +224,14 @@ def levels(lines: list, sigma: float) -> np.ndarray:
     return out
 
 
+def read_lines(html: str, forms: bool = True) -> Lines:
+    page = Lines(forms)
+    page.feed(html)
+    page.close()
+    page.end_line()
+    return page
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The page's content: blocks in page order, two line ends between them; empty if there is none.
 
@@ -207,10 +245,9 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     """
     if not html:
         return ""
-    page = Lines()
-    page.feed(html)
-    page.close()
-    page.end_line()
+    page = read_lines(html)
+    if 2 * page.formed > page.shown:
+        page = read_lines(html, forms=False)
     lines = page.lines
     if not lines:
         return ""
