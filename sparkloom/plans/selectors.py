@@ -166,13 +166,6 @@ def _(spark, sf):
     return rows.select("conv_id", "turn", F.round(F.size(F.array_intersect(a, b)) / F.size(a), 6).alias("cover"))
 
 
-@query("rul07_unsupported_values", "with p as (select conv_id, turn, text, coalesce(lag(text) over (partition by conv_id order by turn), '') as source from conversations) select conv_id, turn, v from (select conv_id, turn, source, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) as v from p) where not contains(source, v)")
-def _(spark, sf):
-    before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
-    rows = t(spark, sf, "conversations").withColumn("source", before)
-    return rows.select("conv_id", "turn", "source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]+)"), 1))).alias("v")).where("not contains(source, v)").select("conv_id", "turn", "v")
-
-
 @query("mrg18_append_absent", "with c as (select o_custkey as code, o_orderdate::date::varchar as day from orders where o_orderstatus = 'F'), w as (select o_custkey as code, o_orderdate::date::varchar as day from orders where o_orderstatus = 'P') select code, day from c union all select code, day from w where (code, day) not in (select code, day from c)")
 def _(spark, sf):
     o = t(spark, sf, "orders").select(F.col("o_custkey").alias("code"), F.to_date("o_orderdate").cast("string").alias("day"), "o_orderstatus")

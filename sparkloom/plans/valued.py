@@ -38,3 +38,25 @@ def _(spark, sf):
     docs = t(spark, sf, "documents").where("text is not null").select("doc_id", F.concat("text", F.expr(TAIL)).alias("text"))
     found = fold_rows(docs, ["doc_id"], "text", values.values, values.VALUE)
     return found.groupBy("doc_id", "kind", "raw", "canonical").agg(F.count("*").alias("n"))
+
+
+#: What an answer states and what its evidence has: the same kinds of values, of an id that is a little smaller for two of three answers.
+_SOURCE = "(doc_id - doc_id % 3)"
+
+
+def _at(expression: str, number: str) -> str:
+    return expression.replace("doc_id", number)
+
+
+def _canonical(number: str) -> str:
+    """SQL list of kind and canonical form of all planted values; a share of a whole number of percents and a half among them."""
+    share = f"['percent', cast({number} % 100 as varchar) || '.5']"
+    return "[" + ", ".join([share, *(f"['{kind}', regexp_replace({_at(canon, number).replace(' as string)', ' as varchar)')}, '^0+([0-9])', '\\1')]" for kind, _, canon in PLANTED)]) + "]"
+
+
+@query("rul07_unsupported_values", f"""select doc_id, unnest(list_distinct(list_filter({_canonical("doc_id")}, lambda v: not list_contains({_canonical(_SOURCE)}, v)))) as v from documents where text is not null""".replace("select doc_id, unnest", "select doc_id, v[1] as kind, v[2] as canonical from (select doc_id, unnest", 1) + ")")
+def _(spark, sf):
+    """Values of an answer that its evidence does not have, in whatever form either writes them; both hold the whole document."""
+    docs = t(spark, sf, "documents").where("text is not null")
+    found = lambda tail: fold_rows(docs.select("doc_id", F.concat("text", F.expr(tail)).alias("text")), ["doc_id"], "text", values.values, values.VALUE).select("doc_id", "kind", "canonical")
+    return found(TAIL).distinct().join(found(_at(TAIL, _SOURCE)), ["doc_id", "kind", "canonical"], "left_anti")
