@@ -76,7 +76,7 @@ def best_excerpt(text: Column, sentence: Column) -> Column:
 
 
 def citation_spans(answers: DataFrame, evidence: DataFrame, key: str = "answer_id") -> DataFrame:
-    """Spans of an answer to show as links: ``key, start, end, citation, chunk_id, doc_type, url, current_url, excerpt``.
+    """Spans of an answer to show as links: ``key, start_offset, end_offset, citation, chunk_id, doc_type, url, current_url, excerpt``.
 
     A named statute links to the first evidence (by rank) on its article. An
     article without a name links if one evidence alone has it, and never inside
@@ -102,4 +102,4 @@ def citation_spans(answers: DataFrame, evidence: DataFrame, key: str = "answer_i
     shown = chosen.join(evidence.select(key, "rank", "chunk_id", "doc_type", "citation", "text", "source_url"), [key, "rank", "chunk_id"]).join(links, [key, "rank", "chunk_id"])
     shown = shown.withColumn("excerpt", best_excerpt(F.coalesce("text", F.lit("")), F.col("sentence"))).where("excerpt <> '' or kind = 'number'")
     url = F.coalesce(F.nullif("source_url", F.lit("")), "current_url")
-    return shown.select(key, "start", "end", "citation", "chunk_id", "doc_type", url.alias("url"), "current_url", "excerpt")
+    return shown.select(key, F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), "citation", "chunk_id", "doc_type", url.alias("url"), "current_url", "excerpt")

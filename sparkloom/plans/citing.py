@@ -60,7 +60,7 @@ m as (
     concat('https://www.law.go.kr/법령/%EA%B3%B5%EC%9D%B8%EC%A4%91%EA%B0%9C%EC%82%AC%EB%B2%95/%EC%A0%9C', {_C}, '%EC%A1%B0'), '공인중개사 참조.' from d where doc_id % 7 + 10 = doc_id % 5 + 11
   union all select doc_id, n, tail, concat({_N}, '다', {_B}), concat('대법원 ', {_N}, '다', {_B}, ' 판결'), 'case-a-' || doc_id, 'case',
     concat('https://glaw.scourt.go.kr/wsjo/intesrch/sjo022.do?q=', {_N}, '%EB%8B%A4', {_B}, '&w=panre&section=panre_tot'), null from d where doc_id % 2 = 0)
-select doc_id as answer_id, (n + instr(tail, piece) - 1)::int as start, (n + instr(tail, piece) - 1 + length(piece))::int as end, citation, chunk_id, doc_type, url, url as current_url, excerpt from m""",
+select doc_id as answer_id, (n + instr(tail, piece) - 1)::int as start_offset, (n + instr(tail, piece) - 1 + length(piece))::int as end_offset, citation, chunk_id, doc_type, url, url as current_url, excerpt from m""",
 )
 def _(spark, sf):
     """Spans of each answer that link to evidence; excerpts of decisions, which answer whole texts, are left out."""

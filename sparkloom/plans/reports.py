@@ -45,13 +45,6 @@ def _(spark, sf):
     return docs.select("doc_id", (F.array_join(own, "") == F.col("text")).alias("equal"))
 
 
-@query("txt13_txt15_context_rules", "select item_id, list_concat(case when contains(text, 'the') or (contains(text, 'of') and not contains(text, 'and')) then ['article'] else [] end, case when contains(text, 'de ') then ['link'] else [] end) as concepts from benchmark")
-def _(spark, sf):
-    has = lambda w: F.contains("text", F.lit(w))
-    rules = F.array(F.when(has("the") | (has("of") & ~has("and")), "article"), F.when(has("de "), "link"))
-    return t(spark, sf, "benchmark").select("item_id", F.array_compact(rules).alias("concepts"))
-
-
 @query("txt26_txt22_body_intents", "select doc_id, list_concat(case when contains(text, 'the') and contains(text, 'of') then ['a'] else [] end, case when regexp_matches(text, '[0-9]{4}') then ['b'] else [] end) as intents from documents")
 def _(spark, sf):
     has = lambda w: F.contains("text", F.lit(w))

@@ -250,12 +250,6 @@ def _(spark, sf):
     return _sets(spark, sf).select("qid", F.when(F.size("want") > 0, F.round(F.size(F.array_intersect("got", "want")) / F.size("want"), 6)).alias("recall"))
 
 
-@query("set13_expansion", "select item_id, list_filter(['thing', 'there', 'stone'], lambda w: contains(text, substr(w, 1, 3)) and not contains(text, w)) as added from benchmark")
-def _(spark, sf):
-    words = F.array(*[F.lit(w) for w in ("thing", "there", "stone")])
-    return t(spark, sf, "benchmark").select("item_id", F.filter(words, lambda w: F.contains(F.col("text"), F.substring(w, 1, 3)) & ~F.contains(F.col("text"), w)).alias("added"))
-
-
 @query("rul04_sufficient_evidence", "select conv_id, bool_or(role = 'assistant' and length(text) > 100) as enough from conversations group by 1")
 def _(spark, sf):
     return t(spark, sf, "conversations").groupBy("conv_id").agg(F.bool_or((F.col("role") == "assistant") & (F.length("text") > 100)).alias("enough"))

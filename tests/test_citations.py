@@ -96,7 +96,7 @@ def test_spans_do_not_overlap_and_fall_back_to_nothing(spark):
         (1, 6, "case", "case", "대법원 2020다12 판결", "", None),
         (2, 1, "blank", "law", "민법 제3조", " \n ", None),
     ]
-    got = sorted(citations.citation_spans(answers, evidence(spark, rows)).collect(), key=lambda r: r.start)
-    assert [(r.answer_id, text[r.start : r.end], r.chunk_id, r.excerpt) for r in got] == [(1, "민법 제3조", "first", "민법 규정."), (1, "제5조", "five", "상법 문장"), (1, "2020다12", "case", "")]
+    got = sorted(citations.citation_spans(answers, evidence(spark, rows)).collect(), key=lambda r: r.start_offset)
+    assert [(r.answer_id, text[r.start_offset : r.end_offset], r.chunk_id, r.excerpt) for r in got] == [(1, "민법 제3조", "first", "민법 규정."), (1, "제5조", "five", "상법 문장"), (1, "2020다12", "case", "")]
     assert got[0].url == "https://own" and got[0].current_url.startswith("https://www.law") and got[1].url == got[1].current_url
-    assert all(a.end <= b.start for a, b in zip(got, got[1:], strict=False))
+    assert all(a.end_offset <= b.start_offset for a, b in zip(got, got[1:], strict=False))

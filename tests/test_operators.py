@@ -98,6 +98,20 @@ def test_queries_match_sql(spark, name):
     assert rows(got.select(*cols).collect()) == rows(want.select(", ".join(cols)).fetchall())
 
 
+@pytest.mark.parametrize(
+    "name",
+    [
+        "str07_structure_units", "str07_lossless_units", "str08_packed_lines", "str09_overlapping_windows", "txt30_stitched_windows", "str29_citation_mentions", "str31_citation_spans",
+        "mrg07_applied_changes", "mrg07_closure_replacement", "mrg10_plan_faults", "src11_strict_json", "src13_snk06_verified_release", "mrg12_active_release", "mrg13_promoted_release",
+        "dat08_num01_values", "rul07_unsupported_values", "rnk21_cover_query", "txt20_date_record_requests", "stm13_clarifications", "stm03_invalidated_documents", "set13_expansion",
+        "txt13_txt15_expand_law", "txt14_expand_civil", "txt16_txt18_law_concepts", "txt17_txt19_civil_concepts", "agg27_digest", "agg28_agg29_index_content_hash", "mrg11_verify_digests",
+        "join27_align", "flt03_query_dependent_exclusion", "flt07_guarded_exclusion", "str04_extract_body", "rnk23_first_pages", "jsn02_digest",
+    ],
+)
+def test_more_queries_match_sql(spark, name):
+    test_queries_match_sql(spark, name)
+
+
 @pytest.mark.parametrize("name", ["prj06_prj07_prj08_chunk_fields", "txt32_prompt_context", "prj01_evidence"])
 def test_whole_texts_match_sql(spark, name):
     test_queries_match_sql(spark, name)
@@ -122,6 +136,13 @@ def test_windows_of_texts_of_any_length(spark, tmp_path):
     assert got == {k: True for k in (0, 1, 2, 3, 4, 9)}
 
 
+def test_concepts_of_nothing(spark):
+    from sparkloom.functions import concepts
+
+    row = spark.createDataFrame([(None,), ("",)], "q string").select(concepts.expand(F.col("q")).alias("a"), concepts.expand_civil(F.col("q")).alias("b"), concepts.final_law_concepts(F.col("q")).alias("c"), concepts.civil_concepts(F.col("q")).alias("d"), concepts.dense_context_query(F.col("q"), False).alias("e")).collect()
+    assert tuple(row[0]) == (None,) * 5 and tuple(row[1]) == ([], [], [], [], "")
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
