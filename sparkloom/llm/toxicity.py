@@ -131,7 +131,7 @@ def _score(shared):
                 z = x.times(w[:width]) + dense @ w[width:-1] + w[-1]
                 dense = np.column_stack([dense, _sigmoid(z)])
             keep = [k for k, name in enumerate(batch.schema.names) if name != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *[pa.array(dense[:, k]) for k in range(dense.shape[1])]], names=[*[batch.schema.names[k] for k in keep], *[f"p{k}" for k in range(dense.shape[1])]])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *[pa.array(dense[:, k]) for k in range(dense.shape[1])], pa.array(x.size > 0)], names=[*[batch.schema.names[k] for k in keep], *[f"p{k}" for k in range(dense.shape[1])], "known"])
 
     return run
 
@@ -144,7 +144,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bar: float = 0.4, sample:
     document is scored on its whole text. Without labelled documents all
     probabilities are one half less than sure: 0.5, and nothing is toxic.
 
-    Null or empty text has no features and gets the base rate. Labels with a
+    Null or empty text has no features: it gets the base rate and is not toxic,
+    whatever the rate; so is any text without a feature of the models. Labels with a
     null id or category are left out; a document labelled twice is trained on
     its highest labels, rows that share an id on one of their texts. Repeated
     rows score alike, long texts are read whole, ties in chi-square go by name. Empty tables give empty
@@ -177,5 +178,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bar: float = 0.4, sample:
     # equal rows of the sample are collected in the order of id and features
     rows = taken.mapInArrow(_encode(spark.sparkContext.broadcast(names)), "doc_id long, y array<int>, own array<int>").orderBy("doc_id", "own").collect()
     models = fit_chain(np.array([r["doc_id"] for r in rows]), [r["own"] for r in rows], np.array([r["y"] for r in rows]), len(names))
-    scored = plain.mapInArrow(_score(spark.sparkContext.broadcast((names, models))), "doc_id long, p0 double, p1 double")
-    return scored.select("doc_id", F.round("p0", 6).alias("p_low_quality"), F.round("p1", 6).alias("p_toxic"), (F.col("p1") >= bar).alias("toxic"))
+    scored = plain.mapInArrow(_score(spark.sparkContext.broadcast((names, models))), "doc_id long, p0 double, p1 double, known boolean")
+    return scored.select("doc_id", F.round("p0", 6).alias("p_low_quality"), F.round("p1", 6).alias("p_toxic"), (F.col("known") & (F.col("p1") >= bar)).alias("toxic"))
