@@ -32,8 +32,8 @@ ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl")
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline cookie cookies comment comments consent copyright disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 PLAIN = frozenset("area bar block body bottom box button buttons center column container content form group inner item items left links list main module outer page panel post posts reader right row section site slot text thread top unit user wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Least ratio of a line of an article or main part; what a character of a link counts for outside of them.
-LEAST, LINK = 0.1, 0.1
+#: Least ratio of a line of an article or main part; what a character of a link counts for.
+LEAST, LINK = 0.3, 0.1
 _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -81,9 +81,9 @@ def is_noise(tag: str, attrs: list[tuple[str, str | None]], within: bool, forms:
 class Lines(HTMLParser):
     """Lines of text of a page: text, characters that count, tags, article or main part, and the run of sister blocks.
 
-    Text in links counts for little outside of articles, text in elements that
-    hold no content for nothing; in an article, headings count in what only
-    stands around them. Memory grows with the page only.
+    Text in links (anchors that lead somewhere) counts for little, text in
+    elements that hold no content for nothing; in an article, headings count in
+    what only stands around them. Memory grows with the page only.
     """
 
     def __init__(self, forms: bool = True):
@@ -99,6 +99,8 @@ class Lines(HTMLParser):
         #: Open elements: name, whether noise; and how many of each name are open.
         self.open: list[tuple[str, str]] = []
         self.held: Counter[str] = Counter()
+        #: Whether each open anchor leads somewhere.
+        self.anchors: list[bool] = []
         self.blocks: list[int] = [0]
         self.seen = self.noise = self.around = self.hidden = self.main = self.region = 0
 
@@ -140,6 +142,8 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.seen += 1
             self.blocks.append(self.seen)
+        if tag == "a":
+            self.anchors.append(any(name == "href" for name, _ in attrs))
         self.open.append((tag, noise))
         self.held[tag] += 1
 
@@ -156,6 +160,8 @@ class Lines(HTMLParser):
         self.noise -= noise == "noise"
         self.around -= noise == "around"
         self.hidden -= tag in HIDDEN
+        if tag == "a":
+            self.anchors.pop()
         self.main -= tag in ("article", "main")
         if tag in BLOCKS:
             self.blocks.pop()
@@ -201,7 +207,7 @@ class Lines(HTMLParser):
             self.shown += size
             self.formed += size if self.held["form"] else 0
         if not silent:
-            self.count += size * (LINK if self.held["a"] and not self.main else 1)
+            self.count += size * (LINK if any(self.anchors) else 1)
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:

