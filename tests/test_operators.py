@@ -143,6 +143,20 @@ def test_concepts_of_nothing(spark):
     assert tuple(row[0]) == (None,) * 5 and tuple(row[1]) == ([], [], [], [], "")
 
 
+def _exclusions(spark, path, name):
+    """Rows of an exclusion query over five documents (ids from 100 on, one without a source) and three questions (one without a text)."""
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(100, "src1"), (101, "src2"), (102, "src5"), (103, None), (104, "src3")], "doc_id long, source string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, "the kind of"), (1, "plain"), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return {(r.item_id, r.doc_id, r.excluded) for r in entry.queries()[name](spark, str(path)).collect()}
+
+
+def test_each_question_decides_on_each_document(spark, tmp_path):
+    want = {(q, d, q > 0 and d in (100, 102)) for q in range(3) for d in range(100, 105)}
+    assert _exclusions(spark, tmp_path, "flt03_query_dependent_exclusion") == want
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
