@@ -311,19 +311,6 @@ def _(spark, sf):
     return t(spark, sf, "documents").where(matches({"$and": [{"lang": {"$in": ["en", "de"]}}, {"source": {"$nin": ["src4"]}}]})).select("doc_id", "source")
 
 
-def _pool(spark, sf, out):
-    """For each question the documents that stay in its pool when all of the sources ``out`` leave it; a null source stays."""
-    docs = t(spark, sf, "documents")
-    by_source = docs.groupBy("source").agg(F.count("*").alias("n"))
-    gone = t(spark, sf, "benchmark").select("item_id", F.explode(out).alias("source")).join(by_source, "source").groupBy("item_id").agg(F.sum("n").alias("gone"))
-    whole = docs.agg(F.count("*").alias("n_all"))
-    counted = t(spark, sf, "benchmark").select("item_id").join(gone, "item_id", "left").crossJoin(F.broadcast(whole))  # one row
-    return counted.select("item_id", (F.col("n_all") - F.coalesce("gone", F.lit(0))).alias("n_pool"), F.coalesce("gone", F.lit(0)).alias("n_excluded"))
-
-
-_POOL = "select item_id, count(*) filter (not excluded)::bigint as n_pool, count(*) filter (excluded)::bigint as n_excluded from (select item_id, {} as excluded from (select item_id, text as q from benchmark), documents) group by item_id"
-
-
 def _exclusions(spark, sf, word, sources):
     """Each question with each document, and whether the document leaves its pool: all of ``sources`` do unless the question has ``word``; a null source stays."""
     asked = t(spark, sf, "benchmark").select("item_id", F.coalesce(F.contains("text", F.lit(word)), F.lit(False)).alias("asked"))
@@ -350,10 +337,10 @@ def _(spark, sf):
     return t(spark, sf, "documents").where(F.rlike("text", F.lit(r"[0-9]{3}\.[0-9]{1,3}\."))).select("doc_id")
 
 
-@query("flt07_guarded_exclusion", _POOL.format("not contains(q, 'of') and coalesce(source in ('src2'), false)"))
+@query("flt07_guarded_exclusion", _EXCLUSIONS.format("of", "'src2'"))
 def _(spark, sf):
     """One source leaves the whole pool of each question that the guard does not let through."""
-    return _pool(spark, sf, F.when(F.contains("text", F.lit("of")), F.array().cast("array<string>")).otherwise(F.array(F.lit("src2"))))
+    return _exclusions(spark, sf, "of", ["src2"])
 
 
 @query("flt08_split_by_type", "select coalesce(lang, 'none') as kind, count(*)::bigint as n, sum(n_chars)::bigint as chars from documents group by 1")

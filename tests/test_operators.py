@@ -157,6 +157,11 @@ def test_each_question_decides_on_each_document(spark, tmp_path):
     assert _exclusions(spark, tmp_path, "flt03_query_dependent_exclusion") == want
 
 
+def test_guarded_questions_decide_on_each_document(spark, tmp_path):
+    want = {(q, d, q > 0 and d == 101) for q in range(3) for d in range(100, 105)}
+    assert _exclusions(spark, tmp_path, "flt07_guarded_exclusion") == want
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
