@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +82,22 @@ def narrow(rows: DataFrame, most: int | None) -> DataFrame:
     return rows.coalesce(1) if most is not None and most <= TASK_LINKS else rows
 
 
+def _joined(batches):
+    """Each end of the links of a task, with the smallest end that it reaches."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), strict=True):
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(above), pa.int64()), pa.array([top(x) for x in list(above)], pa.int64())], names=["id", "component"])
+
+
 def components(edges: DataFrame, vertex: str = "bigint", most: int | None = None) -> DataFrame:
     """Connected components of undirected links ``(a, b)``, as ``(id, component)`` with the smallest id of each.
 
@@ -88,10 +105,14 @@ def components(edges: DataFrame, vertex: str = "bigint", most: int | None = None
     are kept as (larger end, smaller end). A round joins links to the minima of
     their ends; with many links the minima are written first, so that Spark can
     split the rows of a hub over several tasks. Links of one task, TASK_LINKS at
-    most, make their round in that task without a shuffle; ``most`` is a bound of
-    their number, where the caller knows one. Rows with a null or equal ends link
-    nothing. Vertices without a link are not returned.
+    most, make their round in that task without a shuffle. ``most`` is a bound of
+    their number, where the caller knows one; if it fits one task, that task joins
+    them in one pass without rounds. Rows with a null or equal ends link nothing.
+    Vertices without a link are not returned.
     """
+    if vertex == "bigint" and most is not None and most <= TASK_LINKS:
+        few = edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+        return few.coalesce(1).mapInArrow(_joined, "id long, component long")
     cur = settle(
         narrow(edges, most)
         .where("a is not null and b is not null and a <> b")

@@ -30,6 +30,8 @@ CHUNK = 1024
 SHOWN, HOT, PARTS = 64, 4096, 64
 #: Texts that are held against one center in a task.
 SIDE = 64
+#: Bytes of text that a worker cuts into shingles at a time; what it holds meanwhile is some 50 times that.
+SLICE = 1 << 18
 
 
 def size_bands(percent: int, upto: int) -> tuple[list[int], list[int], list[int]]:
@@ -56,7 +58,7 @@ def _own_sets(k: int, seed: int):
 
     def run(batches):
         for batch in batches:
-            for at, offsets, data in slices(batch.column("text")):
+            for at, offsets, data in slices(batch.column("text"), SLICE):
                 tokens, bounds = shingle_sets(offsets, data, k)
                 rows = len(bounds) - 1
                 sketch = [bit_sketch(tokens[bounds[r] : bounds[r + 1]]).tobytes() for r in range(rows)]
@@ -121,7 +123,7 @@ def _keys(k: int, percent: int, seed: int):
     def run(batches):
         done: set[int] = set()  # copies within a task give their keys once
         for batch in batches:
-            for _, offsets, data in slices(batch.column(0)):
+            for _, offsets, data in slices(batch.column(0), SLICE):
                 tokens, bounds = shingle_sets(offsets, data, k)
                 node = set_hash(tokens, bounds, seed)
                 fresh = np.zeros(len(node), bool)
@@ -228,7 +230,7 @@ def _open_groups(percent: int, few: int, joins: bool):
 
 def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
     sets = []
-    for _, offsets, data in slices(column):
+    for _, offsets, data in slices(column, SLICE):
         tokens, bounds = shingle_sets(offsets, data, k)
         sets += [tokens[bounds[r] : bounds[r + 1]] for r in range(len(bounds) - 1)]
     return sets

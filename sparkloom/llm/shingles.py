@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_table(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << 20, n)
+        size = max(1 << 18, n)
         out = []
         for base in (_BASE, _UNBASE):
             steps = np.full(size, base, np.uint64)

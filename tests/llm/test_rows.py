@@ -3,10 +3,13 @@
 import hashlib
 import itertools
 import math
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -450,3 +453,30 @@ def test_components_in_one_task_and_in_many(spark, monkeypatch):
         rows = common.components(links).collect()
         assert len(rows) == len(want) and {r["id"]: r["component"] for r in rows} == want
     assert common.components(links.limit(0)).count() == 0
+
+
+def test_few_links_are_joined_in_one_pass(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1400)] + [(7, 7), (None, 3), (4, None)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    want = {r.id: r.component for r in common.components(links).collect()}
+    settle, settled = common.settle, []
+    monkeypatch.setattr(common, "settle", lambda *a, **k: settled.append(a) or settle(*a, **k))
+    rows = common.components(links, most=len(pairs)).collect()
+    assert {r.id: r.component for r in rows} == want and len(rows) == len(want) and not settled
+    assert common.components(links.limit(0), most=0).count() == 0
+    monkeypatch.setattr(common, "TASK_LINKS", 100)
+    assert {r.id: r.component for r in common.components(links, most=len(pairs)).collect()} == want and settled
+
+
+def test_shingle_workers_hold_little(spark):
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.randrange(50_000)) for _ in range(600)) for _ in range(1024)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(1024), "mark": range(1024), "text": texts})
+    for work, given in ((parity_join._own_sets(5, 0), batch), (parity_join._keys(5, 80, 0), batch.select(["text"]))):
+        tracemalloc.start()
+        for _ in work([given]):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 48 << 20
