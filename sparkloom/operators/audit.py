@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import settle, ship
+
+ship(__name__)
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,6 +42,17 @@ def digest(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or [])).agg(*multiset(row_hash(df)))
 
 
+def _written(size: int):
+    """Vectors of ``size`` components as text of nine digits each, rounded from exact values, halves to even, as C and SQL write them; Spark rounds halves up."""
+    line = ",".join(["%.8e"] * size)
+
+    def write(vectors: pa.Array) -> pa.Array:
+        numbers = vectors.flatten().to_pylist()
+        return pa.array([line % tuple(numbers[k : k + size]) for k in range(0, len(numbers), size)], pa.string())
+
+    return F.arrow_udf(write, "string")
+
+
 def index_hash(df: DataFrame, record: Column, vector: str, size: int) -> DataFrame:
     """Count and digest of an index: each row's record with its length before it, and its vector to nine digits a component.
 
@@ -47,7 +61,7 @@ def index_hash(df: DataFrame, record: Column, vector: str, size: int) -> DataFra
     """
     sound = (F.size(vector) == size) & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     checked = F.when(F.coalesce(sound, F.lit(False)), F.col(vector)).otherwise(F.raise_error(F.lit(f"vectors need {size} finite components")))
-    numbers = F.array_join(F.transform(checked, lambda c: F.format_string("%.8e", c.cast("double"))), ",")
+    numbers = _written(size)(checked)
     return df.agg(*multiset(F.sha2(F.concat(F.octet_length(record).cast("string"), F.lit(":"), record, numbers), 256)))
 
 

@@ -197,3 +197,16 @@ def test_notice_bodies(spark):
     assert body("start", "date", "x 2024-10-11 y", "more") == ("start\ndate\nx 2024-10-11 y\nmore", "2024-10-11")
     assert body("start", "date", "nothing", "2024-10-11", "5555", "6666", "7777") == ("start\ndate\nnothing\n2024-10-11\n5555\n6666", "")
     assert body("menu", "the end") == ("", "") and body() == ("", "")
+
+
+def test_index_hash_rounds_halves_as_sql_does(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    vector = [k / 1024 for k in range(101, 225, 2)] + [-0.1494140625, -0.0]
+    spark.createDataFrame([(1, vector, 3), (2, [float(k) for k in range(64)], None), (None, [2.0**-k for k in range(64)], 0)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    name = "agg28_agg29_index_content_hash"
+    assert [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).select("n", "digest").collect()] == c.sql(entry.oracle_sql()[name]).fetchall()
