@@ -100,3 +100,24 @@ def test_spans_do_not_overlap_and_fall_back_to_nothing(spark):
     assert [(r.answer_id, text[r.start_offset : r.end_offset], r.chunk_id, r.excerpt) for r in got] == [(1, "민법 제3조", "first", "민법 규정."), (1, "제5조", "five", "상법 문장"), (1, "2020다12", "case", "")]
     assert got[0].url == "https://own" and got[0].current_url.startswith("https://www.law") and got[1].url == got[1].current_url
     assert all(a.end_offset <= b.start_offset for a, b in zip(got, got[1:], strict=False))
+
+
+def test_each_document_is_resolved_by_itself_and_in_one_pass(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(i % 60, f"text {i} " + "한 글자 word. " * (i % 3 * 2000)) for i in range(120)] + [(60, None), (None, "no key")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = entry.queries()["str31_citation_spans"](spark, str(tmp_path))
+    want = c.sql(entry.oracle_sql()["str31_citation_spans"]).select(", ".join(got.columns)).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_excerpts_are_cut_at_borders():
+    text = "첫 문장.\u2003둘째 문장 단어\n셋째 단어 문장① 넷째. 단어.단어 문장 " + "길다 " * 60
+    assert grammar.excerpt(text, "단어 문장") == "둘째 문장 단어"
+    assert grammar.excerpt(text, "넷째") == "① 넷째." and grammar.excerpt(text, "없는 말") == "첫 문장." and grammar.excerpt(" \n", "단어") == ""
+    assert grammar.excerpt(text, "길다") == ("단어.단어 문장 " + "길다 " * 60)[:160].rstrip() + "…"
