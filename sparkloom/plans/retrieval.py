@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import fusion, lexical, metrics
+from ..operators.vectors import nearest
 from ..session import table
 from .registry import query
 
@@ -112,12 +113,9 @@ dense_r as (select * from (select *, row_number() over (partition by qid order b
 
 
 def dense_ranked(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    """Exact k-NN: every hundredth vector is the stated query set, asked of all vectors. The set is broadcast if it is small; Spark decides by its size."""
-    vectors = table(spark, sf_dir, "embeddings")
-    asks = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    pairs = vectors.join(asks, F.col("vec_id") != F.col("qid"))
-    scored = pairs.select("qid", F.col("vec_id").alias("id"), F.round(lexical.cosine(F.col("q"), F.col("embedding")), 6).alias("score")).where("score > 0")
-    return lexical.top_k(scored, k)
+    """Exact k-NN: every hundredth vector is the stated query set, asked of all vectors in blocks."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest(vectors, vectors.where("id % 100 = 0"), k)
 
 
 @query("txt06_cosine", "with v as (select vec_id, label, embedding::double[] as x from embeddings) select a.vec_id, b.vec_id as other, round(list_cosine_similarity(a.x, b.x), 6) as cosine from v a join v b on b.vec_id = a.vec_id + 1")

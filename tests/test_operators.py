@@ -210,3 +210,27 @@ def test_index_hash_rounds_halves_as_sql_does(spark, tmp_path):
     c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     name = "agg28_agg29_index_content_hash"
     assert [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).select("n", "digest").collect()] == c.sql(entry.oracle_sql()[name]).fetchall()
+
+
+def test_nearest_vectors_in_blocks_equal_all_pairs(spark, monkeypatch):
+    import random
+
+    from sparkloom.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    monkeypatch.setattr(vectors, "CHUNK", 7)
+    draw = random.Random(3)
+    rows = [(i, [draw.choice((-1.0, 0.5, 0.25, draw.random())) for _ in range(draw.choice((3, 3, 3, 4)))]) for i in range(900)]
+    rows += [(i, [0.1, 0.2, 0.3]) for i in range(900, 960)] + [(960, None), (961, [0.1, None, 0.3]), (970, [0.0] * 3), (None, [1.0] * 3), (980, []), (20, [0.5, 0.5, 0.5])]
+    v = spark.createDataFrame(rows, "id long, vector array<float>").repartition(5)
+    asks = v.where("id % 10 = 0")
+    scored = v.join(asks.select(F.col("id").alias("qid"), F.col("vector").alias("q")), F.col("id") != F.col("qid")).select("qid", "id", F.round(lexical.cosine(F.col("q"), F.col("vector")), 6).alias("score")).where("score > 0")
+    want = lexical.top_k(scored, 20)
+    assert sorted(map(tuple, vectors.nearest(v, asks, 20).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dense_search_has_no_fold_for_each_pair(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["txt07_dense_search"](spark, SF)._jdf.queryExecution().toString()
+    assert "aggregate(" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
