@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import audit, merge
@@ -112,10 +114,24 @@ def _(spark, sf):
     return missing.groupBy((F.col("doc_id") % 10).alias("bucket")).agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("first_id"))
 
 
+#: Pairs of a task, and suppliers that are sent to every task at once.
+PAIRS, SENT = 16_000_000, 500_000
+
+
 @query("join22_optional_key_match", "select a.c_custkey, b.s_suppkey from customer a join supplier b on lower(regexp_replace(a.c_mktsegment, '[^A-Za-z]', '', 'g')) <> '' and a.c_nationkey = b.s_nationkey and (b.s_acctbal < 0 or floor(a.c_acctbal / 1000) = floor(b.s_acctbal / 1000))")
 def _(spark, sf):
-    a = t(spark, sf, "customer").where(F.lower(F.regexp_replace("c_mktsegment", "[^A-Za-z]", "")) != "")
-    return a.join(t(spark, sf, "supplier"), F.expr("c_nationkey = s_nationkey and (s_acctbal < 0 or floor(c_acctbal / 1000) = floor(s_acctbal / 1000))")).select("c_custkey", "s_suppkey")
+    """Suppliers below zero meet all customers of their nation, others those of their band: joins on equality that make no pair but those of the result, in tasks of some million pairs."""
+    a = t(spark, sf, "customer").where(F.lower(F.regexp_replace("c_mktsegment", "[^A-Za-z]", "")) != "").select("c_custkey", "c_nationkey", F.expr("floor(c_acctbal / 1000)").alias("c_band"))
+    b = t(spark, sf, "supplier").where("s_acctbal is not null").select("s_suppkey", "s_nationkey", F.expr("floor(s_acctbal / 1000)").alias("s_band"), F.expr("s_acctbal < 0").alias("below"))
+    fits = {True: F.expr("c_nationkey = s_nationkey"), False: F.expr("c_nationkey = s_nationkey and c_band = s_band")}
+    sizes = a.groupBy("c_nationkey", "c_band").agg(F.count("*").alias("n")), b.groupBy("s_nationkey", "s_band", "below").agg(F.count("*").alias("m"))
+    pairs = sizes[0].join(sizes[1], F.expr("c_nationkey = s_nationkey and (below or c_band = s_band)")).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0]
+    order = ["c_nationkey", "c_band", "c_custkey"]
+    dealt = a.repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((pairs or 0) / PAIRS) + 1), *order).sortWithinPartitions(*order)
+    slices = 1 + b.count() // SENT
+    part = F.pmod(F.xxhash64("s_suppkey"), F.lit(slices))
+    found = [dealt.join(F.broadcast(b.where(F.col("below") == below).where(part == k)), on).select("c_custkey", "s_suppkey") for below, on in fits.items() for k in range(slices)]
+    return reduce(DataFrame.union, found)
 
 
 @query("join23_resolve_to_one", "select o_custkey % 50 as candidate, count(distinct o_orderkey)::bigint as n, case when count(distinct o_orderkey) = 1 then min(o_orderkey) end as resolved, case when count(distinct o_orderkey) = 1 then 'resolved' else 'many' end as state from orders where o_orderpriority = '1-URGENT' group by 1")

@@ -234,3 +234,22 @@ def test_dense_search_has_no_fold_for_each_pair(spark):
 
     plan = entry.queries()["txt07_dense_search"](spark, SF)._jdf.queryExecution().toString()
     assert "aggregate(" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_optional_keys_are_joined_by_equality_alone(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from sparkloom.plans import star
+
+    monkeypatch.setattr(star, "PAIRS", 40)
+    monkeypatch.setattr(star, "SENT", 20)
+    cents = [-1500.0, -1.0, 0.0, 999.99, 1000.0, 1999.0, None, 7000.5]
+    spark.createDataFrame([(i, i % 3 if i % 11 else None, cents[i % 8], ("A b", "--", None, "x")[i % 5 % 4]) for i in range(200)], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(i, i % 4 if i % 7 else None, cents[i * 5 % 8]) for i in range(70)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    c = duckdb.connect()
+    for name in ("customer", "supplier"):
+        c.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = entry.queries()["join22_optional_key_match"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(c.sql(entry.oracle_sql()["join22_optional_key_match"]).fetchall())
+    assert " OR " not in got._jdf.queryExecution().optimizedPlan().toString()
