@@ -183,6 +183,47 @@ def replace_closure(nodes: DataFrame, edges: DataFrame, roots: DataFrame, new_no
     return left, links
 
 
+def replace_tables(tables: dict[str, DataFrame], keys: dict[str, str], refers: dict[str, dict[str, str]], roots: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``replace_closure`` of tables that refer to each other by key: each without all rows that hang on ``roots``, and with its ``new`` ones.
+
+    ``tables`` has parents before children, ``keys`` the key column of those that
+    have one, ``refers`` for each child its columns and the tables they refer to.
+    ``roots`` has rows (by key) to begin with, ``new`` whole rows. New rows may
+    stand where old ones went, not beside them: ValueError if a key comes twice.
+    A row that stays and refers to none that stays fails the query. Tables that
+    refer to themselves need ``replace_closure``.
+
+    A table is shuffled once for each reference, with the columns that are read;
+    one that others refer to is written once, with a mark on what goes.
+    """
+    marks: dict[str, DataFrame] = {}
+    out: dict[str, DataFrame] = {}
+    for name, rows in tables.items():
+        given = rows.withColumn("_gone", F.lit(False))
+        if name in roots:
+            own = roots[name].select(F.col(keys[name]).alias("_root")).distinct()
+            given = given.join(own, F.col(keys[name]) == F.col("_root"), "left").withColumn("_gone", F.col("_root").isNotNull()).drop("_root")
+        given = given.withColumn("_new", F.lit(False))
+        if name in new:
+            given = given.unionByName(new[name].select(*rows.columns, F.lit(False).alias("_gone"), F.lit(True).alias("_new")))
+        for column, parent in refers.get(name, {}).items():
+            given = given.join(marks[parent], F.col(column) == F.col("_key"), "left")
+            hangs = ~F.col("_new") & F.coalesce("_goes", F.lit(False))
+            fault = F.raise_error(F.concat(F.lit(f"{parent} "), F.coalesce(F.col(column).cast("string"), F.lit("null")), F.lit(f": a row of {name} refers to it, but it is gone"))).cast("boolean")
+            gone = F.when(F.col("_gone") | hangs, True).when(F.coalesce("_stays", F.lit(False)), False).otherwise(fault)
+            given = given.withColumn("_gone", gone).drop("_key", "_goes", "_stays")
+        if name in keys:
+            given = settle(given, name)
+            twice = settle(given.where("not _gone").groupBy(keys[name]).count().where("count > 1"), "twice")
+            first = twice.orderBy(keys[name]).limit(1).collect()
+            release(twice)
+            if first:
+                raise ValueError(f"{name} {first[0][keys[name]]}: the row is there already")
+            marks[name] = given.groupBy(F.col(keys[name]).alias("_key")).agg(F.bool_or("_gone").alias("_goes"), F.bool_or(~F.col("_gone")).alias("_stays"))
+        out[name] = given.where("not _gone").drop("_gone", "_new")
+    return out
+
+
 def snapshot_changes(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """A plan's changes as a table, from their JSON form."""
     return spark.createDataFrame([tuple(r.get(c) for c in ("operation", "document_id", "doc_type", "chunks", "metadata", "fields")) for r in rows], CHANGE)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import changes
-from ..operators.shared import settle
 from ..session import table as t
 from .registry import query
 
@@ -66,18 +68,12 @@ union all select 'order', count(*)::bigint, sum(o_orderkey)::bigint from o union
 )
 def _(spark, sf):
     """Of seven customers one goes with its orders and their lines; every other of those comes back alone."""
-    cust, orders, lines = t(spark, sf, "customer"), t(spark, sf, "orders"), t(spark, sf, "lineitem")
-    name = lambda kind, *keys: F.concat_ws(":", F.lit(kind), *keys)
-    nodes = (
-        cust.select(name("c", "c_custkey").alias("node"), F.lit("customer").alias("kind"), F.col("c_custkey").alias("k"))
-        .union(orders.select(name("o", "o_orderkey"), F.lit("order"), "o_orderkey"))
-        .union(lines.select(name("l", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.monotonically_increasing_id()), F.lit("line"), "l_orderkey"))
-    )
-    nodes = settle(nodes, "nodes")
-    edges = orders.select(name("c", "o_custkey").alias("parent"), name("o", "o_orderkey").alias("child")).union(nodes.where("kind = 'line'").select(name("o", "k"), "node"))
-    replaced = cust.where("c_custkey % 7 = 2").select(name("c", "c_custkey").alias("node"), F.lit("customer").alias("kind"), F.col("c_custkey").alias("k"))
-    left, _links = changes.replace_closure(nodes, edges, replaced, replaced.where("k % 2 = 0"), edges.limit(0))
-    return left.groupBy("kind").agg(F.count("*").alias("n_rows"), F.sum("k").alias("key_sum"))
+    tables = {"customer": t(spark, sf, "customer").select("c_custkey"), "order": t(spark, sf, "orders").select("o_orderkey", "o_custkey"), "line": t(spark, sf, "lineitem").select("l_orderkey")}
+    replaced = tables["customer"].where("c_custkey % 7 = 2")
+    keys, refers = {"customer": "c_custkey", "order": "o_orderkey"}, {"order": {"o_custkey": "customer"}, "line": {"l_orderkey": "order"}}
+    left = changes.replace_tables(tables, keys, refers, {"customer": replaced}, {"customer": replaced.where("c_custkey % 2 = 0")})
+    counts = [rows.agg(F.count("*").alias("n_rows"), F.sum(rows.columns[0]).alias("key_sum")).select(F.lit(kind).alias("kind"), "n_rows", "key_sum") for kind, rows in left.items()]
+    return reduce(DataFrame.union, counts)
 
 
 @query(
